@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kategora.operators.features import doc_freq, smooth_idf, term_freq, tfidf_norms
-from kategora.operators.labels import decode_labels, encode_labels, label_vocab
+from kategora.operators.labels import decode_labels, encode_labels
 from kategora.plans.skew import lookup
 from kategora.plans.storage import pinned, staged
 
@@ -30,11 +30,16 @@ class Settings:
 
 def nb_priors(df: DataFrame, category: str = "category") -> DataFrame:
     """``(label, category, docs, prior)`` with labels by sorted name and unsmoothed log priors."""
-    counts = pinned(df.filter(F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("docs")))
-    total = counts.agg(F.sum("docs")).first()[0]
-    vocab = label_vocab(counts)
-    return vocab.join(counts, "category").select(
-        "label", "category", "docs", F.log(F.col("docs") / F.lit(float(total))).alias("prior")
+    counts = (
+        df.filter(F.col(category).isNotNull())
+        .groupBy(F.col(category).alias("category"))
+        .agg(F.count(F.lit(1)).alias("docs"))
+    )
+    # Windows over one row per class.
+    number = F.row_number().over(Window.orderBy("category")) - 1
+    total = F.sum("docs").over(Window.partitionBy())
+    return counts.select(
+        number.cast("int").alias("label"), "category", "docs", F.log(F.col("docs") / total).alias("prior")
     )
 
 
@@ -104,10 +109,12 @@ class TextModel:
             )
             for c, row in enumerate(classes)
         ]
-        best = F.array_max(
-            F.array(*[F.struct(F.round(v, SCORE_DIGITS).alias("score"), F.lit(-c).alias("at")) for c, v in enumerate(scores)])
-        )
-        return sums.select(key, best.alias("_best")).select(
+        # Greatest rounded score, then the lowest label; the score itself is handed on as it is.
+        ranked = [
+            F.struct(F.round(v, SCORE_DIGITS), F.lit(-c).alias("at"), v.alias("score"))
+            for c, v in enumerate(scores)
+        ]
+        return sums.select(key, F.array_max(F.array(*ranked)).alias("_best")).select(
             key, (-F.col("_best.at")).cast("int").alias("label"), F.col("_best.score").alias("score")
         )
 
@@ -160,8 +167,8 @@ def fit(
         F.col("text").isNotNull() & F.col("category").isNotNull()
     )
     priors = pinned(nb_priors(named))
-    n = priors.agg(F.sum("docs")).first()[0]
-    classes = priors.count()
+    sizes = [row.docs for row in priors.collect()]
+    n, classes = sum(sizes), len(sizes)
     docs = encode_labels(named, priors)
     counts = doc_freq(term_freq(docs, [], "text", s.lo, s.hi), s.min_df)
     vocab = staged(counts.withColumn("idf", smooth_idf(F.col("df"), F.lit(n))), "vocab")
