@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kategora.functions.text import drop_controls, strip
+from kategora.functions.text import drop_controls, let, strip
 
 LINE_BREAK = r"\r\n|\r|\n"
 
 
+def _lines(value: Column) -> Column:
+    """Lines of a text; a line break at the very end starts no further line."""
+    return let(
+        F.split(value, LINE_BREAK),
+        lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a),
+    )
+
+
 def _files(spark: SparkSession, root: str, exclude: Sequence[str]) -> DataFrame:
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     path = F.split(F.col("_metadata.file_path"), "/")
     named = files.select(
-        F.split("value", LINE_BREAK).alias("lines"),
+        _lines(F.col("value")).alias("lines"),
         F.url_decode(F.replace(F.element_at(path, -2), F.lit("+"), F.lit("%2B"))).alias("category"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("name"),
