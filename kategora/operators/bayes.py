@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from kategora.operators.features import doc_freq, smooth_idf, term_freq, tfidf_norms
 from kategora.operators.labels import decode_labels, encode_labels
-from kategora.plans.skew import lookup
-from kategora.plans.storage import pinned, staged
+from kategora.plans.skew import Measure, lookup, measuring
+from kategora.plans.storage import discard, pinned, staged
 
 # Scores are compared after rounding: the order of a distributed sum must not decide a tie.
 SCORE_DIGITS = 9
@@ -60,6 +60,7 @@ class TextModel:
     classes: DataFrame
     vocabulary: int
     settings: Settings
+    size: Measure
 
     @property
     def likelihood(self) -> DataFrame:
@@ -91,7 +92,7 @@ class TextModel:
         )
         tf = term_freq(df, [key], text, s.lo, s.hi, outer=True)
         raw = F.col("tf") * F.col("idf")
-        hits = lookup(tf, table, "term", "df", key, "left").withColumn("raw", raw)
+        hits = lookup(tf, table, "term", "df", key, "left", self.size).withColumn("raw", raw)
         sums = hits.groupBy(key).agg(
             F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
             F.sum("raw").alias("mass"),
@@ -128,24 +129,26 @@ class TextModel:
         spark = self.terms.sparkSession
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
-        params = {**asdict(self.settings), "vocabulary": self.vocabulary}
+        params = {**asdict(self.settings), **asdict(self.size), "vocabulary": self.vocabulary}
         spark.createDataFrame([params], PARAMS).write.mode("overwrite").parquet(f"{path}/params")
 
 
 PARAMS = (
-    "lo int, hi int, min_df int, alpha double, sep string, clean string, vocabulary long"
+    "lo int, hi int, min_df int, alpha double, sep string, clean string, vocabulary long, "
+    "bytes long, uses double"
 )
 
 
 def load_model(spark: SparkSession, path: str) -> TextModel:
     """Read a saved model."""
     params = spark.read.parquet(f"{path}/params").first().asDict()
-    vocabulary = params.pop("vocabulary")
+    vocabulary, size = params.pop("vocabulary"), Measure(params.pop("bytes"), params.pop("uses"))
     return TextModel(
         spark.read.parquet(f"{path}/terms"),
         spark.read.parquet(f"{path}/classes"),
         vocabulary,
         Settings(**params),
+        size,
     )
 
 
@@ -169,14 +172,14 @@ def fit(
     priors = pinned(nb_priors(named))
     sizes = [row.docs for row in priors.collect()]
     n, classes = sum(sizes), len(sizes)
-    docs = encode_labels(named, priors)
-    counts = doc_freq(term_freq(docs, [], "text", s.lo, s.hi), s.min_df)
+    counts = doc_freq(term_freq(named, [], "text", s.lo, s.hi), s.min_df)
     vocab = staged(counts.withColumn("idf", smooth_idf(F.col("df"), F.lit(n))), "vocab")
 
-    tf = term_freq(docs, [key], "text", s.lo, s.hi)
+    tf = term_freq(named, [key], "text", s.lo, s.hi)
     norms = staged(tfidf_norms(lookup(tf, vocab, "term", "df", key, "inner"), key), "norms")
 
-    scaled = term_freq(docs.join(norms, key), [key, "label", "norm"], "text", s.lo, s.hi)
+    docs = encode_labels(named, priors).join(norms, key)
+    scaled = term_freq(docs, ["label", "norm"], "text", s.lo, s.hi)
     shares = scaled.groupBy("term").agg(
         class_sums(F.col("tf") / F.col("norm"), classes).alias("shares")
     )
@@ -189,13 +192,16 @@ def fit(
         ),
         "model",
     )
+    discard(vocab, norms)
     totals = terms.agg(
         F.count(F.lit(1)).alias("v"),
+        *measuring(terms, "df"),
         *[F.sum(F.get("sums", F.lit(c))).alias(f"t{c}") for c in range(classes)],
     ).first()
     total = F.array(*[F.lit(float(totals[f"t{c}"] or 0.0)) for c in range(classes)])
     table = priors.withColumn("total", F.get(total, F.col("label")))
-    return TextModel(terms, table, totals["v"], settings)
+    size = Measure(totals["bytes"] or 0, totals["uses"] or 0.0)
+    return TextModel(terms, table, totals["v"], settings, size)
 
 
 def score_table(

@@ -145,6 +145,7 @@ def assign_batches(
 ) -> DataFrame:
     """Add ``batch`` (0-based): ``size`` rows each, in key order or shuffled."""
     order = hash_order(key, seed) if shuffle else key_order(key)
-    placed = positions(df, order, "_position")
+    placed = positions(df.select(key), order, "_position")
     batch = F.floor((F.col("_position") - 1) / size).cast("long").alias("batch")
-    return placed.select(*df.columns, batch)
+    # Only keys are ranked; the rows meet their number in a join spread evenly by key.
+    return df.join(placed.select(key, batch), key).select(*df.columns, "batch")

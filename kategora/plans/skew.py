@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kategora.plans.storage import byte_size
@@ -13,6 +15,27 @@ HOT_KEYS = 2_000
 SALTS = 4_096
 
 
+@dataclass(frozen=True)
+class Measure:
+    """What decides the join: bytes of the table, and how many rows its keys stand for."""
+
+    bytes: int
+    uses: float
+
+
+def measuring(table: DataFrame, uses: str) -> list[Column]:
+    """Aggregates from which a ``Measure`` is made, for use in an aggregation done anyway."""
+    return [
+        F.sum(byte_size(table.schema)).alias("bytes"),
+        F.sum(F.col(uses).cast("double")).alias("uses"),
+    ]
+
+
+def measure(table: DataFrame, uses: str) -> Measure:
+    row = table.agg(*measuring(table, uses)).first()
+    return Measure(row.bytes or 0, row.uses or 0.0)
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -20,7 +43,8 @@ def lookup(
     uses: str,
     spread_by: str,
     how: str = "left",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    size: Measure | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on ``key``; ``uses`` tells how many rows share a table key.
 
@@ -30,18 +54,20 @@ def lookup(
     Keys missing from the table are left to adaptive skew splitting: both sides of that join are
     plain exchanges, as it needs. ``how`` is ``left`` or ``inner``.
     """
-    size, total = table.agg(
-        F.sum(byte_size(table.schema)), F.sum(F.col(uses).cast("double"))
-    ).first()
-    if (size or 0) <= broadcast_bytes:
+    size = size or measure(table, uses)
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if size.bytes <= limit:
         return rows.join(F.broadcast(table), key, how)
 
     payload = [c for c in table.columns if c != key]
     packed = table.select(F.col(key), F.col(uses).alias("_uses"), F.struct(*payload).alias("_entry"))
-    threshold = F.lit(total / HOT_KEYS)
+    threshold = F.lit(size.uses / HOT_KEYS)
     hot = packed.filter(F.col("_uses") >= threshold).select(key, F.col("_entry").alias("_hot"))
+    # Always 0, but not a literal: the optimiser would drop a literal from the join keys, and the
+    # shuffle would no longer spread by salt.
+    none = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
     cold = packed.filter(F.col("_uses") < threshold).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.col("_entry").alias("_cold")
+        F.col(key).alias("_key"), none.alias("_salt"), F.col("_entry").alias("_cold")
     )
     is_hot = F.col("_hot").isNotNull()
     # Hot rows and rows without a key match nothing in the shuffled join, so they may go anywhere.

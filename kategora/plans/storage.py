@@ -47,6 +47,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = {path.rsplit("/", 1)[0] for path in table.inputFiles()}
+        for name in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pinned(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """A small derived table, ready to be broadcast; staged without a hint when it is not small.
 

@@ -151,9 +151,25 @@ def test_lookup_without_broadcast(spark, monkeypatch, how, hot_keys):
     assert plain.count() == (901 if how == "left" else 600)
 
 
+def test_hot_rows_are_spread_by_the_shuffle(spark, capsys):
+    """The salt must stay a key of the exchange, or all hot rows meet in one task."""
+    rows = spark.range(100).select("id", F.lit("hot").alias("term"))
+    table = spark.createDataFrame([("hot", 90), ("cold", 1)], "term string, df long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lookup(rows, table, "term", "df", "id", broadcast_bytes=0).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(exchanges) == 2
+    assert all("_key" in e and "_salt" in e for e in exchanges)
+
+
 def test_large_vocabulary_path_gives_the_same_model(docs, monkeypatch):
     want = sorted(bayes.fit(docs, bayes.Settings(1, 2)).transform(docs, "doc_id").collect())
-    monkeypatch.setattr(lookup, "__defaults__", ("left", 0))
+    monkeypatch.setattr("kategora.plans.skew.BROADCAST_BYTES", 0)
     got = sorted(bayes.fit(docs, bayes.Settings(1, 2)).transform(docs, "doc_id").collect())
     assert [(r.doc_id, r.label) for r in got] == [(r.doc_id, r.label) for r in want]
     assert [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-9)
