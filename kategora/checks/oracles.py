@@ -74,7 +74,15 @@ def split(share: str) -> str:
     )
 
 
-PARTS = f"""{DOCS}, per AS (SELECT category, count(*) AS n FROM docs GROUP BY category),
+RECENT = (
+    "docs AS (SELECT doc_id, text, lang AS category, source FROM documents "
+    "QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) <= 400)"
+)
+
+
+def parted(docs: str) -> str:
+    """Common tables up to ``parts``: a stratified split whose test part has a fifth, rounded up."""
+    return f"""{docs}, per AS (SELECT category, count(*) AS n FROM docs GROUP BY category),
 kept AS (SELECT *, sum(n) OVER () - ceil(sum(n) OVER () * 0.2e0) AS kept, sum(n) OVER () AS total FROM per),
 exact AS (SELECT *, CAST(n AS DOUBLE) * kept / total AS exact FROM kept),
 turned AS (SELECT *, kept - sum(floor(exact)) OVER () AS missing,
@@ -83,6 +91,9 @@ held AS (SELECT category, n - floor(exact) - CASE WHEN turn <= missing THEN 1 EL
 parts AS (SELECT d.*, CASE WHEN {hash_rank(42, over="PARTITION BY category")} <= upto
   THEN 'test' ELSE 'train' END AS part FROM docs d JOIN held USING (category))"""
 
+
+PARTS = parted(DOCS)
+
 SPLIT3 = f"""SELECT *, CASE WHEN rn <= ceil(0.5e0 * ceil(0.2e0 * n)) THEN 'test'
   WHEN rn <= ceil(0.2e0 * n) THEN 'validation' ELSE 'train' END AS part
   FROM (SELECT doc_id, text, lang AS category, {hash_rank(369)} AS rn, count(*) OVER () AS n FROM documents)"""
@@ -98,9 +109,9 @@ def folded(source: str) -> str:
     FROM (SELECT category, count(*) AS n, min(doc_id) AS seen FROM {source} GROUP BY category)) o USING (category)"""
 
 
-def bayes(lo: int, hi: int, min_df: int, alpha: float) -> str:
+def bayes(lo: int, hi: int, min_df: int, alpha: float, parts: str = PARTS) -> str:
     """Common tables up to the predictions ``pred(doc_id, label, score)`` on the test part."""
-    return f"""{PARTS},
+    return f"""{parts},
 classes AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS label, count(*) AS n_docs,
   ln(count(*) / (sum(count(*)) OVER ())) AS prior FROM parts WHERE part = 'train' GROUP BY category),
 alltf AS ({grams(lo, hi, 'doc_id, part, category', 'parts')}),
@@ -310,6 +321,8 @@ def sql() -> dict[str, str]:
         "best_trial": f"""WITH {DOCS}, fold_docs AS ({folded('docs')}), {searched('fold_docs', TUNING, range(5))}
           SELECT trial_id, round(score, 6) AS score FROM {BEST}""",
         "refit": tuned_sql(),
+        "train_articles": tuned_sql(parted(RECENT), "accuracy, precision, recall, f1"),
+        "score_articles": scored_sql(),
         "early_stop": f"WITH {STOPS} SELECT run, stop_epoch, best_loss FROM stops",
         "best_epoch": f"WITH {HISTORY} SELECT run, epoch AS best_epoch, loss AS best_loss FROM hist QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1",
         "best_epoch_to_stop": f"""WITH {STOPS} SELECT run, epoch AS best_epoch, loss AS best_loss FROM hist JOIN stops USING (run)
@@ -337,13 +350,20 @@ SELECT role, predicted_category, count(*) AS turns FROM (SELECT role, category A
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1) GROUP BY ALL"""
 
 
-def tuned_sql() -> str:
-    """Accuracy on the test part of the trial that cross-validates best on the training part."""
+def tuned_sql(parts: str = PARTS, columns: str = "accuracy") -> str:
+    """Metrics on the test part of the trial that cross-validates best on the training part."""
     models = " UNION ALL ".join(
-        f"SELECT {t.trial_id} AS trial_id, accuracy FROM (WITH {bayes(t.lo, t.hi, t.min_df, t.alpha)}, judged AS ({JUDGED}) "
-        f"{measured('SELECT * FROM judged', 'accuracy')})"
+        f"SELECT {t.trial_id} AS trial_id, * FROM (WITH {bayes(t.lo, t.hi, t.min_df, t.alpha, parts)}, judged AS ({JUDGED}) "
+        f"{measured('SELECT * FROM judged', columns)})"
         for t in TUNING
     )
-    return f"""WITH {PARTS}, train AS (SELECT doc_id, text, category FROM parts WHERE part = 'train'),
+    return f"""WITH {parts}, train AS (SELECT doc_id, text, category FROM parts WHERE part = 'train'),
 fold_docs AS ({folded('train')}), {searched('fold_docs', TUNING, range(5))}, models AS ({models})
-SELECT accuracy FROM models JOIN {BEST} USING (trial_id)"""
+SELECT {columns} FROM models JOIN {BEST} USING (trial_id)"""
+
+
+def scored_sql() -> str:
+    """Every document scored by the model trained on all of them."""
+    everything = "parts AS (SELECT *, 'train' AS part FROM docs UNION ALL SELECT -1 - doc_id, text, category, source, 'test' FROM docs)"
+    return f"""WITH {bayes(1, 1, 1, 1.0, f"{DOCS}, {everything}")} SELECT -1 - doc_id AS doc_id, t.category, c.category AS predicted_category
+  FROM pred JOIN parts t USING (doc_id) JOIN classes c USING (label)"""

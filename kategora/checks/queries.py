@@ -21,6 +21,7 @@ from kategora.operators import (
     probability,
     sampling,
     search,
+    training,
 )
 from kategora.operators import history as runs
 from kategora.plans.ordering import hash_order, positions
@@ -422,6 +423,20 @@ def tuned_accuracy(spark, folder):
     return _rounded(metrics.metrics(truth.join(guessed, "doc_id")).select("accuracy"))
 
 
+def trained_on_articles(spark, folder):
+    """The whole way from titles and contents to the metrics of the chosen model."""
+    recent = training.prepare_articles(articles(spark, folder), "doc_id", None, 400)
+    return _rounded(training.train_articles(recent, TUNING, "doc_id", "。", "parts").metrics)
+
+
+def scored_articles(spark, folder):
+    """Articles scored with the separator and cleaning their model was trained with."""
+    rows = articles(spark, folder)
+    settings = bayes.Settings(sep="。", clean="parts")
+    model = bayes.fit(prepare.assemble_text(rows, settings.sep, settings.clean), settings)
+    return training.score_articles(rows, model, "doc_id").select("doc_id", "category", "predicted_category")
+
+
 def stop_epochs(spark, folder):
     return runs.early_stop(history(spark, folder), 2, 0.01)
 
@@ -526,6 +541,8 @@ def registered() -> dict[str, Query]:
         "holdout_search": holdout_search,
         "best_trial": best_trial,
         "refit": tuned_accuracy,
+        "train_articles": trained_on_articles,
+        "score_articles": scored_articles,
         "early_stop": stop_epochs,
         "best_epoch": best_epochs,
         "best_epoch_to_stop": best_epochs_to_stop,

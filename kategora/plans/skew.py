@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kategora.plans.storage import byte_size
 
 BROADCAST_BYTES = 64 << 20
+# A shuffled table is hashed instead of sorted if its share of a partition stays below this.
+HASHED_BYTES = 64 << 20
 # A key used by at least total/HOT_KEYS rows counts as hot; there are at most HOT_KEYS of them.
 HOT_KEYS = 2_000
 SALTS = 4_096
@@ -69,6 +71,10 @@ def lookup(
     cold = packed.filter(F.col("_uses") < threshold).select(
         F.col(key).alias("_key"), none.alias("_salt"), F.col("_entry").alias("_cold")
     )
+    # One row per key: the table's bytes spread evenly over the partitions.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size.bytes / partitions <= HASHED_BYTES:
+        cold = cold.hint("shuffle_hash")
     is_hot = F.col("_hot").isNotNull()
     # Hot rows and rows without a key match nothing in the shuffled join, so they may go anywhere.
     loose = is_hot | F.col(key).isNull()
