@@ -38,6 +38,15 @@ def measure(table: DataFrame, uses: str) -> Measure:
     return Measure(row.bytes or 0, row.uses or 0.0)
 
 
+def hashed(table: DataFrame, size: Measure) -> DataFrame:
+    """Ask for a hash join if the table's share of a shuffle partition is small.
+
+    The table has one row per key, so its bytes spread evenly over the partitions.
+    """
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.hint("shuffle_hash") if size.bytes / partitions <= HASHED_BYTES else table
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -71,10 +80,7 @@ def lookup(
     cold = packed.filter(F.col("_uses") < threshold).select(
         F.col(key).alias("_key"), none.alias("_salt"), F.col("_entry").alias("_cold")
     )
-    # One row per key: the table's bytes spread evenly over the partitions.
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size.bytes / partitions <= HASHED_BYTES:
-        cold = cold.hint("shuffle_hash")
+    cold = hashed(cold, size)
     is_hot = F.col("_hot").isNotNull()
     # Hot rows and rows without a key match nothing in the shuffled join, so they may go anywhere.
     loose = is_hot | F.col(key).isNull()
