@@ -4,10 +4,12 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as registry
+from kategora.checks.oracles import sql
+from kategora.checks.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registered()
+SQL = sql()
 
 
 @pytest.fixture(scope="module")
