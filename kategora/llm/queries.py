@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kategora.llm import chat_format, exact_dedup
+from kategora.llm import chat_format, exact_dedup, language_id, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,10 +22,23 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit_languages(docs.filter(~language_id.held_out()))
+    found = language_id.predict_languages(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_language_id": op7_language_id,
     }
 
 
