@@ -189,6 +189,9 @@ def digest(found: DataFrame, key: str = "doc_id", rules: list[Rule] = RULES, bas
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{n}") for n in names]
+    def count(name: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+
+    counts = [count(name) for name in names]
     own = F.filter("spans", lambda s: s["kind"].isin(names))
     return found.select(key, *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
