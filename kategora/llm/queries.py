@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kategora.llm import chat_format, exact_dedup, language_id, secret_scan
+from kategora.llm import chat_format, exact_dedup, html_text, language_id, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,12 +33,22 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(table(spark, folder, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_html_extraction": op9_html_extraction,
     }
 
 
