@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kategora.llm import chat_format, exact_dedup, html_text, language_id, quality_rules, secret_scan
+from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(bpe.encode(table(spark, folder, "documents")), bpe)
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = chat_format.probe(spark, table(spark, folder, "conversations"))
     return chat_format.digests(chat_format.prefix_examples(turns))
@@ -43,6 +50,7 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_secret_scan": op6_secret_scan,
