@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, quality_rules, secret_scan
+from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    definition = packing.read_definition(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, folder, "documents"), definition)
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
 
@@ -53,6 +58,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
