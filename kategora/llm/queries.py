@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, packing, quality_rules, secret_scan
+from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, line_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), definition)
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Text left of every document, by its digest, and how many lines were dropped."""
+    kept = line_dedup.drop_lines(table(spark, folder, "documents"), count="n_dropped")
+    return kept.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_dropped")
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
 
@@ -59,6 +66,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
@@ -67,4 +75,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op3_exact_dedup": exact_dedup.SQL}
+    return {
+        "op2_chat_format": chat_format.SQL,
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op5_line_dedup": line_dedup.SQL,
+    }
