@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, line_dedup, packing, quality_rules, secret_scan
+from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.jaccard_join(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "text_id", "n_links", "n_text_links")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -71,6 +76,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
