@@ -23,6 +23,7 @@ CHUNK = 1 << 20
 # Each letter is part of three trigrams, so a text has about a third as many independent observations.
 OVERLAP = 3.0
 SMALLEST_SHARE = 0.01
+SMOOTHING = 0.02
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -100,7 +101,7 @@ class LanguageModel:
             return share / share.sum(1, keepdims=True)
 
         share, fit = self._fit(like, count, row, begin, total, pruned(share), 4)
-        best, value = share, fit / OVERLAP - penalty * (share > 0).sum(1)
+        best, value = share.copy(), fit / OVERLAP - penalty * (share > 0).sum(1)
         todo = np.flatnonzero((share > 0).sum(1) > 1)
         while len(todo):
             mine = np.isin(row, todo)
@@ -114,7 +115,6 @@ class LanguageModel:
             gain = fit / OVERLAP - penalty[todo] * (trial > 0).sum(1)
             share[todo] = trial
             better = gain >= value[todo]
-            best = best.copy()
             best[todo[better]], value[todo[better]] = trial[better], gain[better]
             todo = todo[(trial > 0).sum(1) > 1]
         return best
@@ -156,7 +156,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> La
     sums = np.zeros((SLOTS, len(languages)))
     column = np.searchsorted(languages, table.column("lang").to_pylist()) if languages else np.zeros(0, int)
     sums[table.column("slot").to_numpy(), column] = table.column("n").to_numpy()
-    chances = (sums + 0.5) / (sums.sum(0) + 0.5 * SLOTS)
+    chances = (sums + SMOOTHING) / (sums.sum(0) + SMOOTHING * SLOTS)
     top = chances.max(1, keepdims=True) if languages else 1.0
     return LanguageModel(languages, np.maximum(chances / top, 1e-6).astype(np.float32))
 
