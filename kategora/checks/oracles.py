@@ -207,7 +207,7 @@ walk AS (SELECT run, i, epoch, loss AS best, 0 AS waited, CAST(NULL AS INTEGER)
 stops AS (SELECT run, stop AS stop_epoch, best AS best_loss FROM walk
   QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1)"""
 
-LOGITS = "lg AS (SELECT vec_id, label, [CAST(v AS DOUBLE) for v in embedding[1:10]] AS z FROM embeddings)"
+LOGITS = "lg AS (SELECT vec_id, label, [CAST(v AS DOUBLE) for v in embedding] AS z FROM embeddings)"
 ARGMAX = "CAST(list_position(z, list_max(z)) - 1 AS INTEGER)"
 LOSS = "ln(list_sum([exp(v - list_max(z)) for v in z])) - (z[label + 1] - list_max(z))"
 
@@ -300,12 +300,11 @@ def sql() -> dict[str, str]:
         ),
         "nb_metrics": f"WITH {PLAIN_SQL}, judged AS ({JUDGED}) {measured('SELECT * FROM judged')}",
         "confusion": f"WITH {PLAIN_SQL}, judged AS ({JUDGED}) SELECT label, prediction, count(*) AS n FROM judged GROUP BY label, prediction",
-        "score_table": f"""WITH {TUNED_SQL} SELECT doc_id, t.category, t.source, c.category AS predicted_category
-          FROM pred JOIN parts t USING (doc_id) JOIN classes c USING (label)""",
+        "score_table": whole_table_sql(),
         "score_conversations": conversations_sql(),
         "argmax": f"WITH {LOGITS} SELECT vec_id, {ARGMAX} AS prediction FROM lg",
-        "decide": """SELECT vec_id, CAST(CASE WHEN vec_id % 2 = 0 THEN CASE WHEN embedding[1] < 0.5e0 THEN 0 ELSE 1 END
-          ELSE CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END END AS INTEGER) AS prediction FROM embeddings""",
+        "decide": f"""WITH {LOGITS} SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN {ARGMAX}
+          ELSE CAST(list_sum(z) / len(z) >= 0.5e0 AS INTEGER) END AS prediction FROM lg""",
         "logit_metrics": f"WITH {LOGITS}, judged AS (SELECT label, {ARGMAX} AS prediction FROM lg) {measured('SELECT * FROM judged')}",
         "log_loss": f"WITH {LOGITS} SELECT vec_id, round({LOSS}, 6) AS loss FROM lg",
         "mean_loss": f"""WITH {LOGITS} SELECT round(avg(m), 6) AS mean_loss FROM (SELECT avg(loss) AS m FROM
@@ -339,7 +338,7 @@ def sql() -> dict[str, str]:
 
 def conversations_sql() -> str:
     """Predictions for the texts of another table, by the model trained on the documents."""
-    return f"""WITH {PLAIN_SQL}, turns AS (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations),
+    return f"""WITH {PLAIN_SQL}, turns AS (SELECT struct_pack(c := conv_id, t := turn) AS id, role, text FROM conversations),
 ctf AS ({grams(1, 1, 'id', 'turns')}),
 cw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS x FROM ctf JOIN terms USING (term)),
 cs AS (SELECT turns.id, role, c.label, c.category, c.prior + coalesce(sum(cw.x * (ln(coalesce(l.s, 0) + 1)
@@ -367,3 +366,14 @@ def scored_sql() -> str:
     everything = "parts AS (SELECT *, 'train' AS part FROM docs UNION ALL SELECT -1 - doc_id, text, category, source, 'test' FROM docs)"
     return f"""WITH {bayes(1, 1, 1, 1.0, f"{DOCS}, {everything}")} SELECT -1 - doc_id AS doc_id, t.category, c.category AS predicted_category
   FROM pred JOIN parts t USING (doc_id) JOIN classes c USING (label)"""
+
+
+def whole_table_sql() -> str:
+    """Every document scored by the model trained on the training part."""
+    everything = """trained AS (SELECT * FROM parts0 WHERE part = 'train'),
+parts AS (SELECT doc_id, text, category, source, part FROM trained
+  UNION ALL SELECT -1 - doc_id, text, category, source, 'test' FROM docs)"""
+    parts = PARTS.replace("parts AS", "parts0 AS")
+    return f"""WITH {bayes(TUNED.lo, TUNED.hi, TUNED.min_df, TUNED.alpha, f"{parts}, {everything}")}
+SELECT -1 - doc_id AS doc_id, t.category, t.source, c.category AS predicted_category
+  FROM pred JOIN parts t USING (doc_id) JOIN classes c USING (label)"""

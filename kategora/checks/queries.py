@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kategora.checks.tables import LANGUAGES, articles, documents, history, load, logits
+from kategora.checks.tables import articles, documents, history, load, logits
 from kategora.functions import scores, text
 from kategora.operators import (
     bayes,
@@ -330,18 +330,16 @@ def nb_confusion(spark, folder):
 
 
 def scored_table(spark, folder):
-    """Every document with the category predicted from another feature: its text's source."""
-    train, test = _parts(spark, folder)
+    """Every document, those of the training part too, with the category that the model predicts."""
+    train, _ = _parts(spark, folder)
     model = bayes.fit(train, TUNED)
-    return bayes.score_table(test, model, "doc_id").select("doc_id", "category", "source", "predicted_category")
+    return bayes.score_table(documents(spark, folder), model, "doc_id").select("doc_id", "category", "source", "predicted_category")
 
 
 def scored_conversations(spark, folder):
     """Categories predicted for texts that were never labelled."""
     train, _ = _parts(spark, folder)
-    turns = load(spark, folder, "conversations").withColumn(
-        "turn_id", F.col("conv_id") * 1000 + F.col("turn")
-    )
+    turns = load(spark, folder, "conversations").withColumn("turn_id", F.struct("conv_id", "turn"))
     scored = bayes.score_table(turns, bayes.fit(train), "turn_id")
     return scored.groupBy("role", "predicted_category").agg(F.count(F.lit(1)).alias("turns"))
 
@@ -351,7 +349,9 @@ def best_class(spark, folder):
 
 
 def threshold_class(spark, folder):
-    single = F.slice("logits", 1, 1 + F.col("vec_id").cast("int") % 2)
+    """Odd vectors have a score per class, even ones a single score: the mean of the vector."""
+    mean = F.aggregate("logits", F.lit(0.0), lambda a, v: a + v) / F.size("logits")
+    single = F.when(F.col("vec_id") % 2 == 1, F.col("logits").cast("array<double>")).otherwise(F.array(mean))
     return logits(spark, folder).select("vec_id", scores.decide(single).alias("prediction"))
 
 
@@ -372,20 +372,20 @@ def batch_loss(spark, folder):
 
 def outside_model(spark, folder):
     def load_model():
-        return lambda batch: batch[:, :10]
+        return lambda batch: batch
 
-    vectors = load(spark, folder, "embeddings", "vec_id").select("vec_id", "embedding")
+    vectors = load(spark, folder, "embeddings").select("vec_id", "embedding")
     return dense.score_with(vectors, load_model, "embedding", 64).select("vec_id", "prediction")
 
 
 def dense_classifier(spark, folder):
-    vectors = load(spark, folder, "embeddings", "vec_id").select("vec_id", "embedding", "label")
+    vectors = load(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     model = dense.fit_dense(vectors)
     return dense.dense_logits(vectors, model).select("vec_id", "label", "prediction")
 
 
 def dense_search(spark, folder):
-    vectors = load(spark, folder, "embeddings", "vec_id").select("vec_id", "embedding", "label")
+    vectors = load(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     parts = sampling.split3(vectors, "vec_id")
     results = dense.dense_search(parts, [0.0, 0.01, 0.1])
     return search.best_trial(results, "loss", "min")
@@ -466,8 +466,8 @@ def union_probability(spark, folder):
 
 def probability_pivot(spark, folder):
     both = probability.with_union(_shares(spark, folder))
-    wide = inspect.pivot(both, "source", "lang", "p_A_or_B", LANGUAGES)
-    return wide.select("source", *[F.round(c, 6).alias(c) for c in LANGUAGES])
+    wide = inspect.pivot(both, "source", "lang", "p_A_or_B")
+    return wide.select("source", *[F.round(c, 6).alias(c) for c in wide.columns if c != "source"])
 
 
 def registered() -> dict[str, Query]:

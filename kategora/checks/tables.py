@@ -5,26 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The languages of the documents table.
-LANGUAGES = ["de", "en", "es", "fr"]
 
-
-def load(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """Read a table. With ``key``, a scan of fewer tasks than cores is spread over all of them.
-
-    A test file is a single row group, so one core would do all the text work; a table of many
-    files is left as it is.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, key)
-    return df
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as it lies: its files decide how many tasks read it."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, text, category, source)`` with the language as category."""
-    docs = load(spark, folder, "documents", "doc_id")
+    docs = load(spark, folder, "documents")
     return docs.select("doc_id", "text", F.col("lang").alias("category"), "source")
 
 
@@ -38,10 +27,8 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, folder: str) -> DataFrame:
-    """``(vec_id, label, logits)``: the first ten entries of each vector as class scores."""
-    return load(spark, folder, "embeddings", "vec_id").select(
-        "vec_id", "label", F.slice("embedding", 1, 10).alias("logits")
-    )
+    """``(vec_id, label, logits)``: every entry of a vector as the score of a class."""
+    return load(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("logits"))
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,17 +57,37 @@ def head(df: DataFrame, n: int = 5, order_col: str | None = None) -> DataFrame:
     return (df.orderBy(order_col) if order_col else df).limit(n)
 
 
+# Columns a pivot may make. A wider table is better left long.
+PIVOT_COLUMNS = 1_000
+
+
 def pivot(
     df: DataFrame, index: str, columns: str, values: str, names: Sequence | None = None
 ) -> DataFrame:
     """Long to wide, one value per cell; two values for a cell are an error.
 
-    Naming the new columns in ``names`` saves the pass that looks for them.
+    Naming the new columns in ``names`` saves the pass that looks for them; a row of another column
+    is then an error. Without names, more than ``PIVOT_COLUMNS`` columns are an error.
     """
-    grouped = df.groupBy(index, columns).agg(
-        F.first(values).alias("_value"), F.count(F.lit(1)).alias("_n")
+    if names is None:
+        found = df.select(columns).distinct().limit(PIVOT_COLUMNS + 1).collect()
+        if len(found) > PIVOT_COLUMNS:
+            raise ValueError(f"{columns} has more than {PIVOT_COLUMNS} values")
+        names = sorted((r[0] for r in found if r[0] is not None), key=str)
+        if len(names) < len(found):
+            raise ValueError(f"{columns} has NULLs, which name no column")
+    kind = df.schema[values].dataType
+
+    def fail(message: str) -> Column:
+        return F.raise_error(F.lit(message)).cast(kind)
+
+    known = F.coalesce(F.col(columns).isin(list(names)), F.lit(False))
+    grouped = df.groupBy(index, columns).agg(F.first(values).alias("_value"), F.count(F.lit(1)).alias("_n"))
+    checked = F.when(~known, fail(f"a value of {columns} is not among the names"))
+    checked = checked.when(F.col("_n") > 1, fail("two values for one cell")).otherwise(F.col("_value"))
+    # All cells of a row pass through the check, also those that make no column.
+    cells = grouped.groupBy(index).agg(
+        *[F.max(F.when(F.col(columns) == n, checked)).alias(str(n)) for n in names],
+        F.count(F.when(~known, checked)).alias("_others"),
     )
-    twice = F.raise_error(F.lit("two values for one cell")).cast(df.schema[values].dataType)
-    single = grouped.withColumn("_value", F.when(F.col("_n") == 1, F.col("_value")).otherwise(twice))
-    wide = single.groupBy(index)
-    return (wide.pivot(columns, list(names)) if names else wide.pivot(columns)).agg(F.first("_value"))
+    return cells.filter(F.col("_others") == 0).drop("_others")
