@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kategora.plans.storage import pinned, staged
+
+# Room for the rows of one file within a key.
+FILE_BITS = 40
+
 ARTICLES = "url string, title string, content string, category string, user string"
 
 # Texts that stand for a missing value in article files.
@@ -27,8 +32,9 @@ def read_articles(
     """Read CSV files with a header row; ``path`` may be a glob.
 
     Fields may hold line breaks and doubled quotes. Empty fields and ``null_tokens`` are NULL.
-    ``pick="first"`` reads only the first file by name. Columns are found by header name. The
-    result has ``row_key``, which increases along each file.
+    ``pick="first"`` reads only the first file by name. Columns are found by header name. ``row_key`` numbers the rows by file
+    name and place in the file, however files are packed into tasks. The parsed rows are written to
+    the shared folder once, so later passes neither parse again nor see other keys.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if pick == "first":
@@ -53,7 +59,25 @@ def read_articles(
         for f in present
     ]
     others = [c for c in raw.columns if c not in {f.name for f in present}]
-    return raw.select(*cells, *others).withColumn("row_key", F.monotonically_increasing_id())
+    placed = raw.select(
+        *cells,
+        *others,
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return numbered(staged(placed, "articles"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``row_key`` from ``_file`` and ``_at``, which counts up by one along a file (a file is one task's).
+
+    Only one row for each file is grouped and ranked; the rows themselves stay where they are.
+    """
+    files = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
+    files = files.withColumn("_number", F.row_number().over(Window.orderBy("_file")) - 1)
+    key = F.shiftleft(F.col("_number").cast("long"), FILE_BITS) + F.col("_at") - F.col("_first")
+    joined = rows.join(pinned(files), "_file")
+    return joined.withColumn("row_key", key).drop("_file", "_at", "_first", "_number")
 
 
 def first_input(spark: SparkSession, paths: Sequence[str]) -> str:

@@ -125,3 +125,23 @@ def test_zip(spark, tmp_path):
     filled = {r.column: r.non_null for r in profile(rows).collect()}
     assert filled["url"] == 16 and filled["category"] == 20
     assert head(rows, 3, "title").count() == 3
+
+
+def test_row_keys_do_not_depend_on_packing(spark, tmp_path):
+    """Files of unequal size, read by few and by many tasks: same keys, in order of file and line."""
+    sizes = {"b.csv": 400, "a.csv": 30, "c.csv": 7}
+    for name, n in sizes.items():
+        lines = [f'http://x/{name}/{i},"t\n{i}",c,k,u' for i in range(n)]
+        (tmp_path / name).write_text("url,title,content,category,user\n" + "\n".join(lines) + "\n")
+    seen, old = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows = read_articles(spark, f"{tmp_path}/*.csv").select("row_key", "url").collect()
+            seen.append([r["url"] for r in sorted(rows)])
+            assert len({r["row_key"] for r in rows}) == 437
+            assert [r["row_key"] for r in sorted(rows)][:2] == [0, 1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"http://x/{name}/{i}" for name in sorted(sizes) for i in range(sizes[name])]
+    assert seen == [want, want]
