@@ -12,6 +12,7 @@ from kategora.checks.queries import (
     TUNING,
 )
 from kategora.functions.text import WHITESPACE
+from kategora.sources.articles import NULL_TOKENS
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 DOCS = "docs AS (SELECT doc_id, text, lang AS category, source FROM documents)"
@@ -249,6 +250,7 @@ def sql() -> dict[str, str]:
         "ngram_counts_1_2": gram_counts(1, 2),
         "ngram_counts_1_3": gram_counts(1, 3),
         "ngram_counts_1_4": gram_counts(1, 4),
+        "ngram_counts_1_8": f"SELECT docs, count(*) AS terms, CAST(sum(uses) AS BIGINT) AS uses FROM ({gram_counts(1, 8)}) GROUP BY docs",
         "term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL",
         "drop_stopwords": digest(f"array_to_string([w for w in {WORDS} if w NOT IN ({quoted})], ' ')"),
         "keep_pos": f"SELECT doc_id, md5(coalesce(array_to_string([w for w in {WORDS} if length(w) % 4 IN (0, 1)], ' '), '')) AS digest FROM documents",
@@ -333,20 +335,44 @@ def sql() -> dict[str, str]:
     }
     for name, (sep, clean) in SEPARATORS.items():
         table[f"assemble_text_{name}"] = assembled(sep, clean)
-    return table
+    return table | files_sql()
+
+
+def files_sql() -> dict[str, str]:
+    """What comes back of articles that were written to files, and of a saved model."""
+    missing = ", ".join(f"'{t}'" for t in ("", *NULL_TOKENS))
+    cell = "md5(CASE WHEN {0} NOT IN (%s) THEN {0} END) AS {0}" % missing
+    title, content = STRIPPED.format("title"), STRIPPED.format("content")
+    line = STRIPPED.format("line")
+    plain = "replace(replace(replace(replace({}, chr(10), ''), chr(9), ''), chr(13), ''), chr(12288), '')"
+    body = f"array_to_string([{line} for line in string_split(content, chr(10)) if {line} <> ''], '')"
+    csv = f"WITH {ARTICLES} SELECT doc_id, {cell.format('title')}, {cell.format('content')}, lang AS category FROM art JOIN documents USING (doc_id)"
+    return {
+        "csv_round_trip": csv,
+        "csv_gzip": csv,
+        "corpus_round_trip": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({title}) AS title, md5({content}) AS content FROM art",
+        "corpus_body": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({plain.format(body)}) AS text FROM art",
+        "model_round_trip": predicted(PLAIN_SQL),
+        "score_benchmark": scored_texts_sql("SELECT item_id AS id, CAST(NULL AS VARCHAR) AS role, text FROM benchmark", "id AS item_id, category AS predicted_category"),
+    }
 
 
 def conversations_sql() -> str:
+    """Turns by role and predicted category."""
+    each = scored_texts_sql("SELECT struct_pack(c := conv_id, t := turn) AS id, role, text FROM conversations", "role, category AS predicted_category")
+    return f"SELECT role, predicted_category, count(*) AS turns FROM ({each}) GROUP BY ALL"
+
+
+def scored_texts_sql(texts: str, columns: str) -> str:
     """Predictions for the texts of another table, by the model trained on the documents."""
-    return f"""WITH {PLAIN_SQL}, turns AS (SELECT struct_pack(c := conv_id, t := turn) AS id, role, text FROM conversations),
+    return f"""WITH {PLAIN_SQL}, turns AS ({texts}),
 ctf AS ({grams(1, 1, 'id', 'turns')}),
 cw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS x FROM ctf JOIN terms USING (term)),
 cs AS (SELECT turns.id, role, c.label, c.category, c.prior + coalesce(sum(cw.x * (ln(coalesce(l.s, 0) + 1)
   - ln(tot.t + (SELECT count(*) FROM terms)))), 0) AS score
   FROM turns CROSS JOIN classes c JOIN tot USING (label) LEFT JOIN cw USING (id) LEFT JOIN lik l ON l.term = cw.term AND l.label = c.label
   GROUP BY turns.id, role, c.label, c.category, c.prior)
-SELECT role, predicted_category, count(*) AS turns FROM (SELECT role, category AS predicted_category FROM cs
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1) GROUP BY ALL"""
+SELECT {columns} FROM cs QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1"""
 
 
 def tuned_sql(parts: str = PARTS, columns: str = "accuracy") -> str:

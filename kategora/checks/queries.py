@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kategora.checks import files
 from kategora.checks.tables import articles, documents, history, load, logits
 from kategora.functions import scores, text
 from kategora.operators import (
@@ -67,6 +68,16 @@ def grams(lo: int, hi: int) -> Query:
     return run
 
 
+def gram_histogram(lo: int, hi: int) -> Query:
+    """How many n-grams are found in how many documents, and how often."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        counts = grams(lo, hi)(spark, folder)
+        return counts.groupBy("docs").agg(F.count(F.lit(1)).alias("terms"), F.sum("uses").alias("uses"))
+
+    return run
+
+
 def missing_texts(spark, folder):
     some = F.when(F.col("category") != "es", F.col("text"))
     return documents(spark, folder).select("doc_id", F.md5(text.null_to_text(some)).alias("digest"))
@@ -490,6 +501,7 @@ def registered() -> dict[str, Query]:
         "ngram_counts_1_2": grams(1, 2),
         "ngram_counts_1_3": grams(1, 3),
         "ngram_counts_1_4": grams(1, 4),
+        "ngram_counts_1_8": gram_histogram(1, 8),
         "term_freq": term_frequency,
         "drop_stopwords": stopword_removed,
         "keep_pos": nouns_and_adjectives,
@@ -551,4 +563,4 @@ def registered() -> dict[str, Query]:
     }
     for name, (sep, clean) in SEPARATORS.items():
         table[f"assemble_text_{name}"] = assembled(sep, clean)
-    return table
+    return table | files.registered()
