@@ -125,12 +125,16 @@ class TextModel:
         return decode_labels(self.transform(one, "doc_id"), self.classes).first()["category"]
 
     def save(self, path: str) -> None:
-        """Write the model as three Parquet tables under ``path``."""
+        """Write the model as three Parquet tables into the new folder ``path``.
+
+        A folder that exists is refused, so a model is never written over the files it is read
+        from. The parameters come last: a folder without them is no model.
+        """
         spark = self.terms.sparkSession
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.classes.write.mode("overwrite").parquet(f"{path}/classes")
+        self.terms.write.parquet(f"{path}/terms")
+        self.classes.write.parquet(f"{path}/classes")
         params = {**asdict(self.settings), **asdict(self.size), "vocabulary": self.vocabulary}
-        spark.createDataFrame([params], PARAMS).write.mode("overwrite").parquet(f"{path}/params")
+        spark.createDataFrame([params], PARAMS).write.parquet(f"{path}/params")
 
 
 PARAMS = (

@@ -74,6 +74,8 @@ def lookup(
     packed = table.select(F.col(key), F.col(uses).alias("_uses"), F.struct(*payload).alias("_entry"))
     threshold = F.lit(size.uses / HOT_KEYS)
     hot = packed.filter(F.col("_uses") >= threshold).select(key, F.col("_entry").alias("_hot"))
+    # Few rows may still be wide ones: their bytes are measured before they are broadcast.
+    wide = (hot.agg(F.sum(byte_size(hot.schema))).first()[0] or 0) > max(limit, BROADCAST_BYTES)
     # Always 0, but not a literal: the optimiser would drop a literal from the join keys, and the
     # shuffle would no longer spread by salt.
     none = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
@@ -85,7 +87,7 @@ def lookup(
     # Hot rows and rows without a key match nothing in the shuffled join, so they may go anywhere.
     loose = is_hot | F.col(key).isNull()
     tagged = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(hot if wide else F.broadcast(hot), key, "left")
         .withColumn("_key", F.when(~is_hot, F.col(key)))
         .withColumn(
             "_salt",

@@ -6,15 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows a table may have to be held by the driver and broadcast. Tables asked for here hold one
 # row per class, per cut or per histogram bucket, so a row is some hundred bytes at most.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
+# Where staged tables lie, so that they can be deleted without asking for their files.
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,39 +49,49 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (weakref.ref(table), path)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read any more."""
     for table in tables:
-        spark = table.sparkSession
-        folder = {path.rsplit("/", 1)[0] for path in table.inputFiles()}
-        for name in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        found = _paths.pop(id(table), None)
+        if found and found[0]() is table:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """A small derived table, ready to be broadcast; staged without a hint when it is not small.
 
-    At most ``limit + 1`` rows are fetched, so the size is proven before anything is broadcast.
+    At most ``limit + 1`` rows are fetched, so rows and bytes are known before anything is broadcast.
     """
     spark = df.sparkSession
     table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
+    if table.num_rows > limit or table.nbytes > SMALL_BYTES:
         return staged(df, "wide")
     return F.broadcast(spark.createDataFrame(table, schema=df.schema))
 
 
-def byte_size(schema) -> "F.Column":
-    """Column giving the bytes a row of ``schema`` takes, strings and arrays by actual length."""
-    total = F.lit(16)
-    for field in schema.fields:
-        kind = field.dataType.typeName()
-        if kind == "string":
-            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif kind == "array":
-            total = total + 8 * F.coalesce(F.size(field.name), F.lit(0))
-        total = total + 8
-    return total
+def byte_size(schema) -> Column:
+    """Column giving the bytes a row of ``schema`` takes, whatever is nested in it by actual length."""
+    return sum((_bytes(F.col(f.name), f.dataType) for f in schema.fields), F.lit(16))
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: 8 for its slot, and what lies outside of it."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 8 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        size = F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0))
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            each = F.aggregate(value, F.lit(0), lambda total, x: (total + _bytes(x, kind.elementType)).cast("int"))
+            return 24 + F.coalesce(each, F.lit(0))
+        return 24 + 8 * size
+    return F.lit(8)

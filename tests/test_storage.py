@@ -17,6 +17,16 @@ def test_small_tables_are_broadcast_and_large_ones_staged(spark, capsys):
         large.collect()
 
 
+def test_bytes_of_nested_values(spark):
+    """What lies in structs, arrays and maps counts by its actual length."""
+    schema = "a array<struct<label int, v array<double>>>, s string, m map<string,array<long>>, n array<string>"
+    rows = [([(1, [0.0] * 60), (2, [0.0] * 60)], "x" * 100, {"k": [1] * 50}, ["abc"] * 10), (None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    full, none = (r[0] for r in df.select(storage.byte_size(df.schema)).collect())
+    assert 960 + 100 + 400 + 30 <= full <= 2 * (960 + 100 + 400 + 110)
+    assert 16 <= none <= 200
+
+
 def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
     class Conf:
         def __init__(self, value):
