@@ -14,6 +14,8 @@ from kategora.plans.storage import discard, pinned, staged
 
 # Scores are compared after rounding: the order of a distributed sum must not decide a tie.
 SCORE_DIGITS = 9
+# Every class is a column of the sums; more of them than this are refused.
+MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -176,6 +178,8 @@ def fit(
     priors = pinned(nb_priors(named))
     sizes = [row.docs for row in priors.collect()]
     n, classes = sum(sizes), len(sizes)
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{classes} classes; at most {MAX_CLASSES} can be trained")
     counts = doc_freq(term_freq(named, [], "text", s.lo, s.hi), s.min_df)
     vocab = staged(counts.withColumn("idf", smooth_idf(F.col("df"), F.lit(n))), "vocab")
 

@@ -270,3 +270,9 @@ def test_dense_classifier(spark):
     assert search.best_trial(losses, "loss", "min").first().trial_id == 0
     outside = dense.score_with(df, lambda: (lambda batch: batch), "embedding", 3, "guess")
     assert outside.filter("guess = label").count() >= 80
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(1_001).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("category"))
+    with pytest.raises(ValueError, match="1001 classes"):
+        bayes.fit(df)
