@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kategora.checks.tables import articles, documents, load
 from kategora.operators import bayes
-from kategora.operators.sampling import split
+from kategora.operators.sampling import split, tail_per_group
 from kategora.plans.storage import shared_dir
 from kategora.sources.articles import read_articles, write_csv
 from kategora.sources.corpus import read_corpus, read_corpus_body
@@ -19,6 +19,7 @@ def registered() -> dict:
     return {
         "csv_round_trip": csv_round_trip,
         "csv_gzip": csv_gzip,
+        "csv_tail": csv_tail,
         "corpus_round_trip": corpus_round_trip,
         "corpus_body": corpus_body,
         "model_round_trip": model_round_trip,
@@ -46,6 +47,15 @@ def csv_gzip(spark: SparkSession, folder: str) -> DataFrame:
     return csv_round_trip(spark, folder, "gzip")
 
 
+def csv_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """Last articles of each category, in the order of several files that are read together."""
+    path = _folder(spark, "csv")
+    made = articles(spark, folder).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    write_csv(made.select(F.col("source").alias("url"), "title", "content", "category", F.col("doc_id").alias("user")), path)
+    last = tail_per_group(read_articles(spark, f"{path}/*.csv"), "category", 30, "row_key")
+    return last.select(F.col("user").cast("long").alias("doc_id"), "category")
+
+
 def _corpus(spark: SparkSession, folder: str) -> str:
     """One text file per article, in a folder that is named after it: url, date, title, content."""
     path = _folder(spark, "corpus")

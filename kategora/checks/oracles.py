@@ -350,6 +350,7 @@ def files_sql() -> dict[str, str]:
     return {
         "csv_round_trip": csv,
         "csv_gzip": csv,
+        "csv_tail": "SELECT doc_id, lang AS category FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) <= 30",
         "corpus_round_trip": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({title}) AS title, md5({content}) AS content FROM art",
         "corpus_body": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({plain.format(body)}) AS text FROM art",
         "model_round_trip": predicted(PLAIN_SQL),
