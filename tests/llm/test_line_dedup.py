@@ -27,7 +27,7 @@ def test_variable_fields(docs_of):
     """One word differs from line to line; unlike lines of the same leaf stay."""
     names = ["ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal", "ivy", "jon", "kay", "leo"]
     same = [(i, f"Posted today by {n} under the general news heading") for i, n in enumerate(names)]
-    other = (99, "Posted today by whoever cares about some completely different matter"[:-7] + "thing")
+    other = (99, "Posted today by whoever cares about quite different things")
     got = rest(docs_of(*same, other))
     assert got == {same[0], other, *[(i, "") for i, _ in same[1:]]}
 
