@@ -34,14 +34,16 @@ OPEN = "\n"
 
 def tokens_of(line: Column) -> Column:
     """Line with single spaces and ``<*>`` for words that have a digit."""
-    plain = F.trim(F.regexp_replace(line, RUNS, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", WILD)).otherwise(plain)
+    plain = F.array(F.trim(F.regexp_replace(line, RUNS, " ")))
+    # A transform of one element gives the spaced line a name, so it is made once.
+    masked = F.transform(plain, lambda p: F.when(p.rlike("[0-9]"), F.regexp_replace(p, "[^ ]*[0-9][^ ]*", WILD)).otherwise(p))
+    return F.get(masked, F.lit(0))
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
     """``id, hash, pos, line, leaf, key`` of every line with ``MIN_TOKENS`` tokens, half of them not variable."""
-    flat = rows.select("id", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = flat.select("id", "hash", "pos", tokens_of(F.col("raw")).alias("line"))
+    # Tokens are found below the explode: the filter after it then tests the made line instead of making it again.
+    lines = rows.select("id", "hash", F.posexplode(F.transform(F.split("text", "\n"), tokens_of)).alias("pos", "line"))
     size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     wild = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(WILD)))) / len(WILD)
     lines = lines.withColumn("n", size).filter((F.col("n") >= MIN_TOKENS) & (2 * wild <= F.col("n")))
@@ -49,20 +51,33 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select("id", "hash", "pos", "line", "n", leaf.alias("leaf"), F.xxhash64("line").alias("key"))
 
 
+def documents_seen() -> list[Column]:
+    """Aggregates that tell which documents have something: hashed sums, whatever the number of rows."""
+    return [F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("named"), F.count("*").alias("rows")]
+
+
+def several() -> Column:
+    """Whether ``documents_seen`` saw more than one; rows with a NULL key are one document."""
+    mixed = (F.col("named") > 0) & (F.col("named") < F.col("rows"))
+    return mixed | F.coalesce(F.col("low") < F.col("high"), F.lit(False))
+
+
+def first() -> Column:
+    """The document that keeps its lines: that with a NULL key, else the smallest key."""
+    return F.when(F.col("named") == F.col("rows"), F.col("low")).alias("first")
+
+
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, hash, lines``: for each document, the numbers (from 0) of the lines to drop; rows without any are left out."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).filter("text is not null")
-    doc = F.struct("id", "hash")
     lines = lines_of(rows)
-    seen = lines.groupBy("leaf", "key", "n").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.count("*").alias("lines"))
-    seen = staged(seen, "lines")
-    # NULL ids make equality NULL; null-safe comparison keeps such rows in the game.
-    one = F.col("first").eqNullSafe(F.col("last"))
-    exact = seen.filter(~one).select("leaf", "key", "first", F.lit(None).cast("bigint").alias("size"))
-    alone = seen.filter(one & (F.col("n") >= MIN_GENERAL))
-    leaves = alone.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum("lines").alias("size"))
-    leaves = leaves.filter(~F.col("a").eqNullSafe(F.col("b"))).select("leaf", "size")
-    rest = alone.join(leaves, "leaf").select("leaf", "key", F.lit(None).cast(exact.schema["first"].dataType).alias("first"), "size")
+    seen = staged(lines.groupBy("leaf", "key", "n").agg(*documents_seen()), "lines")
+    exact = seen.filter(several()).select("leaf", "key", first(), F.lit(None).cast("bigint").alias("size"))
+    alone = seen.filter(~several() & (F.col("n") >= MIN_GENERAL)).withColumn("id", F.when(F.col("named") > 0, F.col("low")))
+    leaves = alone.select("leaf", "id", F.col("rows").alias("lines")).groupBy("leaf").agg(*documents_seen(), F.sum("lines").alias("size"))
+    leaves = leaves.filter(several()).select("leaf", "size")
+    nobody = F.lit(None).cast(rows.schema["id"].dataType).alias("first")
+    rest = alone.join(leaves, "leaf").select("leaf", "key", nobody, "size")
     general = F.col("size").isNotNull()
     found = staged(
         lines.join(exact.unionByName(rest), ["leaf", "key"]).select(
@@ -70,18 +85,16 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         ),
         "line-candidates",
     )
-    drops = found.filter(~general & ~F.col("first").eqNullSafe(doc)).select("id", "hash", "pos")
-    drops = drops.unionByName(_generalised(found.filter(general), doc))
+    drops = found.filter(~general & ~F.col("first").eqNullSafe(F.col("id"))).select("id", "hash", "pos")
+    drops = drops.unionByName(_generalised(found.filter(general).drop("first")))
     return drops.groupBy("id", "hash").agg(F.collect_set("pos").alias("lines"))
 
 
-def _generalised(lines: DataFrame, doc: Column) -> DataFrame:
+def _generalised(lines: DataFrame) -> DataFrame:
     """Lines to drop because their template, with variable places, recurs."""
-    each = lines.select("leaf", "size", doc.alias("doc"), F.posexplode(F.split("line", " ")).alias("at", "token"))
-    counts = each.filter(F.col("token") != WILD).groupBy("leaf", "size", "at", "token").agg(
-        F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")
-    )
-    fixed = counts.filter((F.col("n") * SUPPORT >= F.col("size")) & ~F.col("a").eqNullSafe(F.col("b")))
+    each = lines.select("leaf", "size", "id", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    counts = each.filter(F.col("token") != WILD).groupBy("leaf", "size", "at", "token").agg(*documents_seen())
+    fixed = counts.filter((F.col("rows") * SUPPORT >= F.col("size")) & several())
     fixed = fixed.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"))
     tokens = F.split("line", " ")
     places = F.transform(
@@ -92,23 +105,23 @@ def _generalised(lines: DataFrame, doc: Column) -> DataFrame:
     shape = lines.select("leaf", F.col("n").cast("int").alias("n")).distinct().join(fixed, "leaf").select("leaf", "n", places.alias("places"))
     joined = lines.withColumn("n", F.col("n").cast("int")).join(shape, ["leaf", "n"])
     template = F.transform(tokens, lambda t, i: F.when(F.array_contains(F.get("places", i), t), t).otherwise(F.lit(OPEN)))
-    named = joined.select("id", "hash", "pos", "leaf", "n", template.alias("template"))
+    # Below an explode of one element, so that the filter on the template does not make it again.
+    named = joined.select("id", "hash", "pos", "leaf", "n", F.explode(F.array(template)).alias("template"))
     constant = F.size(F.filter("template", lambda t: t != OPEN))
     named = named.filter(100 * constant >= CONSTANT * F.col("n")).select(
         "id", "hash", "pos", "leaf", "n", F.xxhash64(F.array_join("template", " ")).alias("template")
     )
-    groups = named.groupBy("leaf", "n", "template").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
-    groups = groups.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    hits = named.join(groups, ["leaf", "n", "template"])
-    return hits.filter(~F.col("first").eqNullSafe(doc)).select("id", "hash", "pos")
+    groups = named.groupBy("leaf", "n", "template").agg(*documents_seen()).filter(several())
+    hits = named.join(groups.select("leaf", "n", "template", first()), ["leaf", "n", "template"])
+    return hits.filter(~F.col("first").eqNullSafe(F.col("id"))).select("id", "hash", "pos")
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """The rows with recurring lines taken out of ``text``; ``count`` names a column for how many were.
 
     NULL texts stay NULL, texts that lose every line become empty. Of several documents with a
-    template the one with the smallest key keeps its lines (NULL keys are smallest, then by a hash
-    of the text); rows equal in key and text count as one document and keep or lose lines together.
+    template the one with the smallest key keeps its lines (NULL keys are smallest); rows of equal
+    keys count as one document and keep or lose such lines together.
     Lines of fewer than three tokens, or of mostly variable ones, always stay. Other columns pass
     through whatever their names; an empty table gives an empty result.
     """
