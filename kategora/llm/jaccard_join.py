@@ -58,7 +58,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1 << 19:
+        if len(known) > 1 << 18:
             known.clear()
         for w in words:
             if w not in known:
@@ -261,7 +261,8 @@ def jaccard_join(
     members = texts.join(groups, "node").select("text_key", "copies", F.col("best.row").alias("row"), F.col("root").alias("component"))
     sizes = members.groupBy("component").agg(F.count("*").alias("members"))
     wanted = staged(members.join(sizes, "component"), "candidates")
-    held = rows.select("row", "text").join(wanted, "row")
+    # Both sides are dealt by row at every size: the candidates grow with the documents.
+    held = rows.select("row", "text").join(wanted.hint("merge"), "row")
     links = staged(verified(held, threshold, words, block), "links")
     roots = components(links.select(F.col("text_key").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("text_key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
