@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 16
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 # Each letter is part of three trigrams, so a text has about a third as many independent observations.
 OVERLAP = 3.0
 SMALLEST_SHARE = 0.01

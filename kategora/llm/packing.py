@@ -139,12 +139,17 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({w for words in split if words for w in words} - self.known.keys())
+            # Most words are met once; those met again stay, unless they are too many themselves.
+            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHED // 2 else {}
+            self.again.clear()
+        met = {w for words in split if words for w in words}
+        self.again.update(met & self.known.keys())
+        new = list(met - self.known.keys())
         self.known.update(zip(new, self._words(new), strict=True))
         find = self.known.__getitem__
         return [self._ids(t) if words is None else b"".join(map(find, words)) for t, words in zip(texts, split, strict=True)]
