@@ -1,7 +1,7 @@
 """HTML extraction: the article of a page, without what its site repeats.
 
 Two passes over the pages. The first hashes every element subtree that could be part of a template;
-Spark counts, per host, the pages that have it. The second deletes the subtrees that many pages of
+Spark counts, per host, the different pages that have it. The second deletes the subtrees that many pages of
 the host share, together with what is never main text by its tag, role, class or id, and reads the
 blocks of the rest. Between them goes one narrow row for each page with a subtree to delete.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +20,9 @@ from pyspark.sql import functions as F
 
 from kategora.plans.storage import staged
 
-# A subtree is a template from so many pages of a host on, if they are that share of its pages.
+# A subtree is a template from so many different pages of a host on, whatever the size of the host;
+# on a host of few pages fewer are enough, if they are that share of its pages.
+MANY_PAGES = 10
 MIN_PAGES = 5
 MIN_SHARE = 0.1
 
@@ -236,30 +237,14 @@ def _read(element: Element, in_main: bool, delete: set[int], out: list[str]) ->
 
 
 def page_templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, subtree, n_pages``: the subtrees that many pages of their host have."""
-    found = _subtrees(pages, url, page)
-    hosts = found.groupBy("host").agg(F.sum(F.when(F.col("subtree").isNull(), F.col("n")).otherwise(0)).alias("n_host"))
-    counts = found.filter("subtree is not null").groupBy("host", "subtree").agg(F.sum("n").alias("n_pages"))
+    """``host, subtree, n_pages``: the subtrees that many different pages of their host have; a page and its copies are one."""
+    rows = pages.select(host_of(url).alias("host"), F.xxhash64(page).alias("at"), F.col(page).alias("html"))
+    hosts = rows.select("host", "at").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
+    found = rows.mapInArrow(_explode, "host string, at long, subtree long").distinct()
+    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n_pages"))
     many = counts.filter(F.col("n_pages") >= MIN_PAGES)
-    return many.join(hosts, "host").filter(F.col("n_pages") >= MIN_SHARE * F.col("n_host")).drop("n_host")
-
-
-def _subtrees(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """Counts summed up within each task: per host and subtree, and per host alone (subtree NULL)."""
-    rows = pages.select(host_of(url).alias("host"), F.col(page).alias("html"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                seen[host, None] += 1
-                if text:
-                    seen.update((host, h) for h in set(candidates(parse(text)).values()))
-            columns = ([h for h, _ in seen], [s for _, s in seen], list(seen.values()))
-            kinds = (pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "subtree", "n"])
-
-    return rows.mapInArrow(count, "host string, subtree long, n long")
+    enough = F.least(F.lit(float(MANY_PAGES)), MIN_SHARE * F.col("n_host"))
+    return many.join(hosts, "host").filter(F.col("n_pages") >= enough).drop("n_host")
 
 
 def host_of(url: str) -> F.Column:

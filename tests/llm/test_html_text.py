@@ -45,5 +45,14 @@ def test_templates(spark):
     assert found == sorted(((i, t, len(t)) for i, t in want), key=repr)
 
 
+def test_many_pages_of_a_large_host(spark):
+    """Ten different pages share an advert, a small part of the host; ten copies of one page share nothing with others."""
+    advert = "<div><p>Buy two and pay one</p></div>"
+    rows = [(i, f"http://a.com/{i}", f"<body>{advert if i < 10 else ''}<div><p>story number {i} is told here</p></div></body>") for i in range(200)]
+    rows += [(500 + i, f"http://a.com/copy/{i}", "<body><div><p>told once and copied</p></div></body>") for i in range(10)]
+    found = {r["page_id"]: r["text"] for r in ht.extract(pages(spark, rows)).collect()}
+    assert found == {i: f"story number {i} is told here" for i in range(200)} | {500 + i: "told once and copied" for i in range(10)}
+
+
 def test_empty(spark):
     assert ht.extract(pages(spark, [])).count() == 0
