@@ -22,13 +22,18 @@ from kategora.llm.automaton import Dfa, compile_rules
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is matched leftmost and longest; matches whose ``group`` has fewer than ``least`` characters go."""
+    """``pattern`` is matched leftmost and longest; matches whose ``group`` has fewer than ``least`` characters go.
+
+    With a ``head``, the automaton finds that and Python's own expression the rest of the match: counted
+    repeats and long bodies would multiply the automaton's states.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     fold: bool = False
+    head: str = ""
 
 
 # The base rules of the contract, in its order.
@@ -44,10 +49,17 @@ BASE = [
     Rule("hex", r"[0-9a-f]{6,}", least=24),
 ]
 # Public formats of further keys.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 MORE = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("google", r"AIza[0-9A-Za-z_-]+", least=39),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # The key itself up to its END line; of a key without one, runs of Base64 and the word after them, which may be its last line.
+    Rule(
+        "pem",
+        PEM + r"(?:(?:[\t\n\r\x20-\x2c\x2e-\x7e]|-(?!-))*+-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:[\s\\]*[A-Za-z0-9+/=]{16,})++(?:[\s\\]*[A-Za-z0-9+/=]+)?)?",
+        head=PEM,
+    ),
 ]
 RULES = [*BASE, *MORE]
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint>>"
@@ -59,7 +71,7 @@ class Scanner:
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        self.forward, self.backward = compile_rules([(r.pattern, r.fold) for r in rules])
+        self.forward, self.backward = compile_rules([(r.head or r.pattern, r.fold) for r in rules])
         self.groups = [re.compile(r.pattern.encode(), re.I if r.fold else 0) for r in rules]
 
     def prepare(self) -> Scanner:
@@ -98,7 +110,7 @@ class Scanner:
             rule, free = self.rules[k], 0
             for start in sorted(begun):
                 if start >= free:
-                    free = begun[start]
+                    free = self.groups[k].match(data, start).end() if rule.head else begun[start]
                     if not rule.least or len(self.groups[k].fullmatch(data, start, free)[rule.group]) >= rule.least:
                         kept.append((start, k, free))
         return sorted(kept)
