@@ -1,10 +1,10 @@
 """N-gram Jaccard join: which documents share at least 0.8 of their five-word shingles.
 
-Candidates come from a MinHash LSH forest: every tree labels a document with a sequence of minimum
-hashes, and documents that share a prefix of a label are candidates. Prefixes start at
-``MAX_DEPTH`` and are shortened until a pair at the threshold is found with the target recall.
-Equal prefixes meet by sorting and grouping; a node of the trie is reduced to a star around its
-smallest document, never expanded to pairs. The components of all stars are then verified exactly:
+Candidates come from MinHash bands of fixed depth, not from a forest of adaptive prefixes: each of
+``TREES`` bands labels a document with 7 minimum hashes, and documents with an equal label are
+candidates. 7 is the longest depth, of at most ``MAX_DEPTH``, that finds a pair at the threshold with
+the target recall; it follows from the constants, not from the data. A bucket is reduced to a star
+around its smallest document, never expanded to pairs. The components of all stars are then verified exactly:
 their texts are dealt to blocks, and each pair of blocks is compared in one task of bounded size
 by its whole shingle sets. Such a task returns one row per document, with its number of links.
 
