@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
+from kategora.llm import byte_bpe, chat_format, exact_dedup, html_text, jaccard_join, language_id, line_dedup, merkle, packing, quality_rules, secret_scan, spelling, vector_file
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "text_id", "n_links", "n_text_links")
 
 
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_file.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(table(spark, folder, "documents"), merkle.tampered()))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -77,6 +89,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_exact_top_k": op11_exact_top_k,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -85,4 +100,7 @@ def sql() -> dict[str, str]:
         "op2_chat_format": chat_format.SQL,
         "op3_exact_dedup": exact_dedup.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op11_exact_top_k": vector_file.SQL,
+        "op12_spelling_variants": spelling.SQL,
+        "op13_merkle_manifest": merkle.SQL,
     }
