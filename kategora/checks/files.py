@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from kategora.checks.tables import articles, documents, load
 from kategora.operators import bayes
 from kategora.operators.sampling import split, tail_per_group
+from kategora.plans.ordering import key_order, positions
 from kategora.plans.storage import shared_dir
+from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import read_articles, write_csv
 from kategora.sources.corpus import read_corpus, read_corpus_body
 
@@ -20,6 +22,9 @@ def registered() -> dict:
         "csv_round_trip": csv_round_trip,
         "csv_gzip": csv_gzip,
         "csv_tail": csv_tail,
+        "csv_first": csv_first,
+        "csv_split": csv_split,
+        "zip_round_trip": zip_round_trip,
         "corpus_round_trip": corpus_round_trip,
         "corpus_body": corpus_body,
         "model_round_trip": model_round_trip,
@@ -56,6 +61,48 @@ def csv_tail(spark: SparkSession, folder: str) -> DataFrame:
     return last.select(F.col("user").cast("long").alias("doc_id"), "category")
 
 
+def _table(spark: SparkSession, folder: str) -> DataFrame:
+    return articles(spark, folder).select(F.col("source").alias("url"), "title", "content", "category", F.col("doc_id").alias("user"))
+
+
+def csv_first(spark: SparkSession, folder: str) -> DataFrame:
+    """Of several files only the first by name."""
+    path = _folder(spark, "csv")
+    parted = _table(spark, folder).withColumn("part", F.col("user") % 8).repartition("part")
+    parted.write.partitionBy("part").option("header", True).option("escape", '"').csv(path)
+    return _digests(read_articles(spark, f"{path}/part=*/*.csv", pick="first"), F.col("user").cast("long"))
+
+
+def csv_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that many tasks read side by side, and the place of every row in them."""
+    path = _folder(spark, "csv")
+    write_csv(_table(spark, folder).repartitionByRange(3, "user").sortWithinPartitions("user"), path)
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(1 << 17, _bytes(whole))))
+    try:
+        read = read_articles(spark, f"{path}/*.csv")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    placed = positions(read, key_order("row_key"), "place")
+    found = _digests(placed, F.col("user").cast("long"))
+    return found.join(placed.select(F.col("user").cast("long").alias("doc_id"), F.col("place").cast("long").alias("place")), "doc_id")
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it."""
+    number = size.lower().rstrip("b")
+    unit = number.lstrip("0123456789")
+    return int(number.removesuffix(unit)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def zip_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles written as zip archives of several members and read again."""
+    path = _folder(spark, "zip")
+    write_zipped_csv(_table(spark, folder), path, 1 << 16)
+    read = read_zipped_csv(spark, path, "title string, content string, category string, user long", 1 << 16)
+    return _digests(read, F.col("user"))
+
+
 def _corpus(spark: SparkSession, folder: str) -> str:
     """One text file per article, in a folder that is named after it: url, date, title, content."""
     path = _folder(spark, "corpus")

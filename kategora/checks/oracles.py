@@ -225,6 +225,64 @@ def padded(width: str, source: str) -> str:
   CAST(len(ids) AS BIGINT) AS used, CAST({width} AS BIGINT) AS width FROM {source}"""
 
 
+SUBWORDS = r"""RECURSIVE flat AS (
+  SELECT doc_id, doc_id % 7 AS batch, unnest(list_prepend('', w)) AS token, generate_subscripts(list_prepend('', w), 1) AS nr
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM documents)
+), uses AS (
+  SELECT token, count(*) AS uses FROM flat WHERE nr > 1 GROUP BY token
+), spans AS (
+  SELECT token AS word, i, n, CASE WHEN i > 1 THEN '##' ELSE '' END || substr(token, i, n) AS piece
+  FROM (SELECT *, unnest(range(1, length(token) - i + 2)) AS n FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM uses))
+), vocab AS (
+  SELECT token, row_number() OVER (ORDER BY md5(token || '-42'), token) + 3 AS id FROM (
+    SELECT token FROM uses WHERE uses >= 5 UNION SELECT piece FROM spans WHERE n <= 3) WHERE md5(token)[1] <> '0'
+), best AS (
+  SELECT word, i, max(n) AS n, arg_max(id, n) AS id FROM spans JOIN vocab ON piece = token GROUP BY word, i
+), walk AS (
+  SELECT token, 1 AS i, []::BIGINT[] AS ids FROM uses
+  UNION ALL
+  SELECT token, walk.i + n, list_append(ids, id) FROM walk JOIN best ON word = token AND best.i = walk.i
+), split AS (
+  SELECT token, CASE WHEN length(token) > 100 THEN [1] ELSE coalesce(any_value(ids) FILTER (i = length(token) + 1), [1]) END AS ids FROM walk GROUP BY token
+), joined AS (
+  SELECT doc_id, batch, coalesce(flatten(list(split.ids ORDER BY nr) FILTER (nr > 1)), []) AS ids
+  FROM flat LEFT JOIN split ON flat.token = split.token GROUP BY doc_id, batch
+), ids AS (
+  SELECT doc_id, batch, [2] || ids[1:510] || [3] AS ids FROM joined
+), wide AS (
+  SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM ids
+)"""
+
+SEGMENTED = r"""RECURSIVE lexicon AS (
+  SELECT token, any_value(10 + 1000 // uses) AS cost FROM (
+    SELECT token, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents) GROUP BY token)
+  WHERE length(token) <= 12 GROUP BY token
+), flat AS (
+  SELECT doc_id, unnest(list_prepend('', w)) AS token, generate_subscripts(list_prepend('', w), 1) AS nr FROM (
+    SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '([^ ]+) ([^ ]+) ([^ ]+)', '\1\2\3', 'g')), '\p{L}+|\p{N}+') AS w FROM documents)
+), runs AS MATERIALIZED (
+  SELECT token, row_number() OVER (ORDER BY token) AS run, length(token) AS size FROM (SELECT DISTINCT token FROM flat WHERE regexp_full_match(token, '\p{L}+'))
+), spans AS (
+  SELECT run, i + n AS stop, n, substr(token, i + 1, n) AS piece
+  FROM (SELECT *, unnest(range(1, least(12, size - i) + 1)) AS n FROM (SELECT *, unnest(range(0, size)) AS i FROM runs))
+), edges AS MATERIALIZED (
+  SELECT run, stop, list({'n': n, 'cost': coalesce(cost, 500)}) AS edges
+  FROM spans LEFT JOIN lexicon ON piece = token WHERE n = 1 OR cost IS NOT NULL GROUP BY run, stop
+), path AS (
+  SELECT run, 0::BIGINT AS stop, [{'cost': 0::BIGINT, 'words': 0::BIGINT, 'back': 0::BIGINT, 'starts': []::BIGINT[]}] AS best FROM runs
+  UNION ALL
+  SELECT p.run, e.stop, list_prepend(list_min(list_transform(e.edges, lambda x: {'cost': p.best[x.n].cost + x.cost,
+    'words': p.best[x.n].words + 1, 'back': -x.n, 'starts': list_append(p.best[x.n].starts, e.stop - x.n)})), p.best[1:11])
+  FROM path p JOIN edges e ON e.run = p.run AND e.stop = p.stop + 1
+), split AS (
+  SELECT token, list_transform(starts, lambda b, i: substr(token, b + 1, coalesce(starts[i + 1], size) - b)) AS words
+  FROM (SELECT token, size, best[1].starts AS starts FROM path JOIN runs USING (run) WHERE stop = size)
+), segmented AS (
+  SELECT doc_id, coalesce(flatten(list(coalesce(words, [flat.token]) ORDER BY nr) FILTER (nr > 1)), []) AS words
+  FROM flat LEFT JOIN split ON flat.token = split.token GROUP BY doc_id
+)"""
+
+
 SHARES = """shares AS (SELECT source, lang, avg(quality) AS a, avg(toxic) AS b
   FROM documents JOIN labels USING (doc_id) GROUP BY source, lang)"""
 
@@ -257,6 +315,13 @@ def sql() -> dict[str, str]:
         "encode_ids_max": f"WITH {VOCAB} {padded('512', 'ids')}",
         "encode_ids_longest": f"""WITH {VOCAB}, placed AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM ids),
           wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM placed) {padded('longest', 'wide')}""",
+        "encode_subwords": f"WITH {SUBWORDS} {padded('longest', 'wide')}",
+        "segment_words": f"WITH {SEGMENTED} SELECT doc_id, md5(array_to_string(words, ' ')) AS digest, len(words) AS words FROM segmented",
+        "keep_pos_segmented": f"""WITH {SEGMENTED}, kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY nr) AS text
+          FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS nr FROM segmented) JOIN lexicon ON word = token
+          WHERE length(word) % 2 = 0 GROUP BY doc_id
+        ) SELECT doc_id, md5(coalesce(kept.text, '')) AS digest FROM documents LEFT JOIN kept USING (doc_id)""",
         "value_counts": 'SELECT lang AS category, count(*) AS "count" FROM documents GROUP BY lang',
         "value_counts_null": """SELECT nullif(lang, 'es') AS category, count(*) AS "count" FROM documents GROUP BY 1""",
         "min_class_size": "SELECT min(n) AS min_count FROM (SELECT count(*) AS n FROM documents GROUP BY source)",
@@ -350,6 +415,9 @@ def files_sql() -> dict[str, str]:
     return {
         "csv_round_trip": csv,
         "csv_gzip": csv,
+        "csv_first": f"SELECT * FROM ({csv}) WHERE doc_id % 8 = 0",
+        "csv_split": f"SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM ({csv})",
+        "zip_round_trip": csv,
         "csv_tail": "SELECT doc_id, lang AS category FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) <= 30",
         "corpus_round_trip": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({title}) AS title, md5({content}) AS content FROM art",
         "corpus_body": f"WITH {ARTICLES} SELECT 'doc_id=' || doc_id AS category, md5({plain.format(body)}) AS text FROM art",

@@ -22,10 +22,13 @@ from kategora.operators import (
     probability,
     sampling,
     search,
+    segmentation,
+    subwords,
     training,
 )
 from kategora.operators import history as runs
 from kategora.plans.ordering import hash_order, positions
+from kategora.plans.storage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +174,55 @@ def encoded_to_longest(spark, folder):
     return _joined(lexicon.encode_ids(batched, _vocabulary(docs), SPECIAL, 512, "longest", "batch"))
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """Sub-words of the corpus: frequent words, beginnings, and inner parts of words; a sixteenth is left out."""
+    uses = subwords.word_uses(docs)
+    size = F.char_length("token")
+    begin = F.transform(F.sequence(F.lit(1), F.least(size, F.lit(3))), lambda n: F.substring("token", F.lit(1), n))
+    inner = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size - 1),
+            lambda at: F.transform(
+                F.sequence(F.lit(1), F.least(size - at, F.lit(3))),
+                lambda n: F.concat(F.lit("##"), F.substring("token", at + 1, n)),
+            ),
+        )
+    )
+    parts = uses.select(F.explode(F.when(size > 1, F.concat(begin, inner)).otherwise(begin)).alias("token"))
+    found = uses.filter("uses >= 5").select("token").unionByName(parts).distinct().filter(~F.md5("token").startswith("0"))
+    placed = positions(found, hash_order("token", 42), "place")
+    return staged(placed.select("token", (F.col("place") + 3).cast("int").alias("id")), "vocabulary")
+
+
+def sub_words(spark, folder):
+    """Sub-word ids of every document, in batches that are padded to their longest row."""
+    docs = documents(spark, folder).withColumn("batch", (F.col("doc_id") % 7).cast("int"))
+    return _joined(subwords.encode_subwords(docs, _pieces(docs), SPECIAL, 512, "longest", "batch"))
+
+
+def _glued(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents whose words are written together by threes, and a lexicon with costs."""
+    docs = documents(spark, folder)
+    words = lexicon.token_uses(docs).filter(F.char_length("token") <= 12)
+    cost = 10 + F.call_function("div", F.lit(1000), F.col("uses"))
+    pos = F.when(F.char_length("token") % 2 == 0, "NOUN").otherwise("VERB")
+    glued = docs.withColumn("text", F.regexp_replace("text", "([^ ]+) ([^ ]+) ([^ ]+)", "$1$2$3"))
+    return glued, words.select("token", "uses", cost.alias("cost"), pos.alias("pos"))
+
+
+def segmented_words(spark, folder):
+    docs, words = _glued(spark, folder)
+    found = segmentation.segment_words(docs, words, runs=r"\p{L}+", words=r"\p{N}+", unknown_cost=500)
+    return found.select("doc_id", F.md5(F.array_join("words", " ")).alias("digest"), F.size("words").cast("long").alias("words"))
+
+
+def segmented_nouns(spark, folder):
+    docs, words = _glued(spark, folder)
+    found = segmentation.segment_words(docs, words, runs=r"\p{L}+", words=r"\p{N}+", unknown_cost=500)
+    kept = lexicon.keep_pos(found, words, text="words", words=lambda c: c)
+    return kept.select("doc_id", F.md5("kept_text").alias("digest"))
+
+
 def class_counts(spark, folder):
     return inspect.value_counts(documents(spark, folder), "category")
 
@@ -507,6 +559,9 @@ def registered() -> dict[str, Query]:
         "keep_pos": nouns_and_adjectives,
         "encode_ids_max": encoded_to_limit,
         "encode_ids_longest": encoded_to_longest,
+        "encode_subwords": sub_words,
+        "segment_words": segmented_words,
+        "keep_pos_segmented": segmented_nouns,
         "value_counts": class_counts,
         "value_counts_null": class_counts_with_null,
         "min_class_size": smallest_class,

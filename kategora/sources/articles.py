@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kategora.plans.storage import pinned, staged
+from kategora.sources.records import fields_of, header_of, read_records
 
 # Room for the rows of one file within a key.
 FILE_BITS = 40
@@ -31,7 +32,7 @@ def read_articles(
 ) -> DataFrame:
     """Read CSV files with a header row; ``path`` may be a glob.
 
-    Fields may hold line breaks and doubled quotes. Empty fields and ``null_tokens`` are NULL.
+    Fields may hold line breaks and doubled quotes; a large file is read by many tasks. Empty fields and ``null_tokens`` are NULL.
     ``pick="first"`` reads only the first file by name. Columns are found by header name. ``row_key`` numbers the rows by file
     name and place in the file, however files are packed into tasks. The parsed rows are written to
     the shared folder once, so later passes neither parse again nor see other keys.
@@ -42,34 +43,26 @@ def read_articles(
     elif pick != "all":
         raise ValueError(f"pick must be all or first, not {pick!r}")
     wanted = T.StructType.fromDDL(schema)
-    # Every column is read as text and chosen by its header name. Files with another header than
-    # the first are refused (enforceSchema), not read in the wrong columns.
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(paths)
-    )
-    present = [f for f in wanted.fields if f.name in raw.columns]
+    # Every column is read as text and chosen by its header name. Files with another header are
+    # refused, not read in the wrong columns.
+    records = read_records(spark, paths)
+    names = header_of(records)
+    rows = records.filter("number > 0").select("file", "number", F.inline(F.array(fields_of(F.col("text"), names))))
+    raw = rows.toDF("_file", "_number", *names)
+    present = [f for f in wanted.fields if f.name in names]
     cells = [
         F.when(~F.col(f.name).isin(*null_tokens), F.col(f.name)).cast(f.dataType).alias(f.name)
         if null_tokens
         else F.col(f.name).cast(f.dataType)
         for f in present
     ]
-    others = [c for c in raw.columns if c not in {f.name for f in present}]
-    placed = raw.select(
-        *cells,
-        *others,
-        F.col("_metadata.file_path").alias("_file"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
+    others = [c for c in names if c not in {f.name for f in present}]
+    placed = raw.select(*cells, *others, "_file", (F.col("_number") - 1).alias("_at"))
     return numbered(staged(placed, "articles"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``row_key`` from ``_file`` and ``_at``, which counts up by one along a file (a file is one task's).
+    """``row_key`` from ``_file`` and ``_at``, which counts up by one along a file.
 
     Only one row for each file is grouped and ranked; the rows themselves stay where they are.
     """
