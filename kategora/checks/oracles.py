@@ -350,6 +350,14 @@ def sql() -> dict[str, str]:
         "label_first_seen": "SELECT CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS label, lang AS category FROM documents GROUP BY lang",
         "encode_labels": """SELECT doc_id, lang AS category, label FROM documents LEFT JOIN
           (SELECT lang AS known, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS label FROM documents WHERE lang <> 'es' GROUP BY lang) ON lang = known""",
+        "assign_batches_repeated": """SELECT key, batch, count(*) AS rows FROM (
+          SELECT key, (row_number() OVER (ORDER BY key NULLS FIRST) - 1) // 16 AS batch
+          FROM (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id // 3 END AS key FROM documents)) GROUP BY ALL""",
+        "decode_labels_unknown": """SELECT vec_id, v.label, category
+          FROM (SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN label % 6 END AS label FROM embeddings) v
+          LEFT JOIN (SELECT lang AS category, row_number() OVER (ORDER BY lang) - 1 AS label FROM documents GROUP BY lang) c ON c.label = v.label""",
+        "score_table_repeated": f"""SELECT CASE WHEN doc_id % 4 <> 0 THEN doc_id % 10 END AS key, category, source, predicted_category, count(*) AS rows
+          FROM ({whole_table_sql()}) GROUP BY ALL""",
         "decode_labels": """SELECT vec_id, CAST(e.label % 4 AS INTEGER) AS label, category FROM embeddings e JOIN
           (SELECT lang AS category, row_number() OVER (ORDER BY lang) - 1 AS label FROM documents GROUP BY lang) c ON c.label = e.label % 4""",
         "doc_freq_min_df": f"WITH {DOCS}, tf AS ({grams(1, 2, 'doc_id', 'docs')}) SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3",

@@ -296,6 +296,13 @@ def batches_shuffled(spark, folder):
     return sampling.assign_batches(documents(spark, folder), 16, "doc_id", shuffle=True).select("doc_id", "batch")
 
 
+def batches_repeated(spark, folder):
+    """Keys that several rows share, and NULL keys: every row gets one batch."""
+    key = F.when(F.col("doc_id") % 7 != 0, F.floor(F.col("doc_id") / 3)).alias("key")
+    rows = documents(spark, folder).select(key, "text")
+    return sampling.assign_batches(rows, 16, "key").groupBy("key", "batch").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def batches_ordered(spark, folder):
     return sampling.assign_batches(documents(spark, folder), 16, "doc_id").select("doc_id", "batch")
 
@@ -314,6 +321,13 @@ def labels_encoded(spark, folder):
     return labels.encode_labels(docs, known).select("doc_id", "category", "label")
 
 
+def labels_unknown(spark, folder):
+    """Class numbers that the vocabulary does not have, and NULL, stay rows."""
+    number = F.when(F.col("vec_id") % 5 != 0, F.col("label") % 6)
+    vectors = load(spark, folder, "embeddings").select("vec_id", number.alias("label"))
+    return labels.decode_labels(vectors, labels.label_vocab(documents(spark, folder)))
+
+
 def labels_decoded(spark, folder):
     vectors = load(spark, folder, "embeddings").select("vec_id", (F.col("label") % 4).alias("label"))
     return labels.decode_labels(vectors, labels.label_vocab(documents(spark, folder)))
@@ -399,6 +413,14 @@ def scored_table(spark, folder):
     return bayes.score_table(documents(spark, folder), model, "doc_id").select("doc_id", "category", "source", "predicted_category")
 
 
+def scored_repeated(spark, folder):
+    """The same with a key that several documents share or that is NULL."""
+    train, _ = _parts(spark, folder)
+    rows = documents(spark, folder).withColumn("key", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 10))
+    scored = bayes.score_table(rows.select("key", "text", "category", "source"), bayes.fit(train, TUNED), "key")
+    return scored.groupBy("key", "category", "source", "predicted_category").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def scored_conversations(spark, folder):
     """Categories predicted for texts that were never labelled."""
     train, _ = _parts(spark, folder)
@@ -580,10 +602,12 @@ def registered() -> dict[str, Query]:
         "assign_folds": folds,
         "assign_batches_shuffled": batches_shuffled,
         "assign_batches": batches_ordered,
+        "assign_batches_repeated": batches_repeated,
         "label_sorted": labels_sorted,
         "label_first_seen": labels_first_seen,
         "encode_labels": labels_encoded,
         "decode_labels": labels_decoded,
+        "decode_labels_unknown": labels_unknown,
         "doc_freq_min_df": document_frequency,
         "tfidf": tfidf_weights,
         "nb_fit": nb_likelihood,
@@ -594,6 +618,7 @@ def registered() -> dict[str, Query]:
         "nb_metrics": nb_metrics,
         "confusion": nb_confusion,
         "score_table": scored_table,
+        "score_table_repeated": scored_repeated,
         "score_conversations": scored_conversations,
         "argmax": best_class,
         "decide": threshold_class,

@@ -215,9 +215,15 @@ def fit(
 def score_table(
     df: DataFrame, model: TextModel, key: str, text: str = "text", out: str = "predicted_category"
 ) -> DataFrame:
-    """All columns of ``df`` plus the predicted category."""
-    found = decode_labels(model.transform(df, key, text), model.classes, out=out)
-    return df.join(found.select(key, out), key, "left").select(*df.columns, out)
+    """All columns of ``df`` plus the predicted category.
+
+    A row finds its category by key and text together, so rows that share a key or have none are scored
+    each by its own text. Rows in which both are equal are scored once.
+    """
+    whole = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    rows = df.withColumn("_id", F.md5(whole))
+    found = decode_labels(model.transform(rows, "_id", text), model.classes, out="_found")
+    return rows.join(found.select("_id", "_found"), "_id", "left").select(*df.columns, F.col("_found").alias(out))
 
 
 def refit(df: DataFrame, trial, key: str = "doc_id", text: str = "text", category: str = "category") -> TextModel:

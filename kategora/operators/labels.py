@@ -49,8 +49,12 @@ def encode_labels(
 
 
 def decode_labels(
-    df: DataFrame, vocab: DataFrame, col: str = "label", out: str = "category"
+    df: DataFrame, vocab: DataFrame, col: str = "label", out: str = "category", on_unknown: str = "null"
 ) -> DataFrame:
-    """Add the class name for the class number in ``col``."""
+    """Add the class name for the class number in ``col``. A number not in the vocabulary gives NULL, or an error if so asked."""
     known = pinned(vocab.select(F.col("label").alias(col), F.col("category").alias(out)))
-    return df.join(known, col).select(*df.columns, out)
+    decoded = df.join(known, col, "left")
+    if on_unknown == "error":
+        unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))
+        decoded = decoded.withColumn(out, F.coalesce(F.col(out), unknown.cast("string")))
+    return decoded.select(*df.columns, out)

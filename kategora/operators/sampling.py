@@ -143,9 +143,11 @@ def assign_folds(df: DataFrame, k: int, by: str, order_col: str) -> DataFrame:
 def assign_batches(
     df: DataFrame, size: int, key: str, shuffle: bool = False, seed: int = 42
 ) -> DataFrame:
-    """Add ``batch`` (0-based): ``size`` rows each, in key order or shuffled."""
+    """Add ``batch`` (0-based): ``size`` rows each, in key order or shuffled.
+
+    The rank travels with the row, so every row gets one batch: also rows of equal keys, which follow
+    each other, and rows with a NULL key, which come first in key order.
+    """
     order = hash_order(key, seed) if shuffle else key_order(key)
-    placed = positions(df.select(key), order, "_position")
     batch = F.floor((F.col("_position") - 1) / size).cast("long").alias("batch")
-    # Only keys are ranked; the rows meet their number in a join spread evenly by key.
-    return df.join(placed.select(key, batch), key).select(*df.columns, "batch")
+    return positions(df, order, "_position").select(*df.columns, batch)

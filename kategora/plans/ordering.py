@@ -39,7 +39,7 @@ class Order:
 
 def hash_order(key: str, seed: int, digits: int = HASH_DIGITS) -> Order:
     """Seeded random order that depends on the row key only, not on partitioning."""
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"-{seed}")))
     return Order(
         {"_hash": digest, "_key": F.col(key)},
         lambda df: df.withColumn("_bucket", F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")),
@@ -47,10 +47,11 @@ def hash_order(key: str, seed: int, digits: int = HASH_DIGITS) -> Order:
 
 
 def key_order(key: str, buckets: int = KEY_BUCKETS) -> Order:
-    """Order by a numeric key; buckets come from approximate quantiles, ranks stay exact."""
+    """Order by a numeric key, NULL first; buckets come from approximate quantiles, ranks stay exact."""
+    least = -1.7976931348623157e308
 
     def bucket(df: DataFrame) -> DataFrame:
-        cast = df.withColumn("_value", F.col("_key").cast("double"))
+        cast = df.withColumn("_value", F.coalesce(F.col("_key").cast("double"), F.lit(least)))
         model = QuantileDiscretizer(
             numBuckets=buckets, inputCol="_value", outputCol="_quantile", relativeError=1 / (4 * buckets)
         ).fit(cast)

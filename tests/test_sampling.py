@@ -134,3 +134,18 @@ def test_vocabularies(spark):
         encode_labels(df, listed, on_unknown="error").collect()
     back = decode_labels(spark.createDataFrame([(1,), (0,)], "label int"), listed)
     assert sorted(tuple(r) for r in back.collect()) == [(0, "IT"), (1, "経済")]
+    other = spark.createDataFrame([(1,), (7,), (None,)], "label int")
+    assert sorted((tuple(r) for r in decode_labels(other, listed).collect()), key=repr) == [(1, "経済"), (7, None), (None, None)]
+    with pytest.raises(Exception, match="unknown label"):
+        decode_labels(other, listed, on_unknown="error").collect()
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_batches_keep_every_row(spark, shuffle):
+    """Repeated and NULL keys: as many rows out as in, and all batches full but the last."""
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1, 1, 2, None, None, 5, 1, 7])], "key long, row int")
+    got = S.assign_batches(rows, 3, "key", shuffle).collect()
+    assert sorted(r["row"] for r in got) == list(range(8))
+    assert sorted(r["batch"] for r in got) == [0, 0, 0, 1, 1, 1, 2, 2]
+    if not shuffle:
+        assert {r["row"] for r in got if r["batch"] == 0} >= {3, 4}
