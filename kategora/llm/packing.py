@@ -9,11 +9,14 @@ so a length that a third of the pieces share is never ranked in one task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,27 @@ from kategora.plans.storage import staged
 
 CAPACITY = 2048
 END = 0
-# Steps of one search for a filling, and pieces in a bucket that is ranked by one task.
-NODES = 4_000
+# Steps of the whole search, steps of the search for the fillings of one sequence, and how many of them are tried.
+STEPS = 600_000
+NODE_STEPS = 50
+FILLING_STEPS = 400
+WIDTH = 64
+# Pieces in a bucket that is ranked by one task.
 BUCKET_ROWS = 50_000
 BUCKETS = 64
 CHUNK = 1 << 20
-CACHED = 1 << 19
+# Bytes of words, and of their ids, that an encoder keeps; with Python's own some five times that.
+CACHED = 16 << 20
 # White space for Python that is none for the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 # Stands between words that are encoded together; words that contain it are encoded alone.
 BREAK = "\x01"
+# Stops and commas that end a word are pieces of their own for the tokenizer if a letter or digit precedes them.
+ENDING = re.compile(r"[.,](?<=[^\W_].)[.,]*(?!\S)")
+
+
+# ``(copies, lengths)`` of sequences that are filled alike.
+Plan = list[tuple[int, tuple[int, ...]]]
 
 
 @dataclass(frozen=True)
@@ -46,53 +60,114 @@ class Pattern:
     items: tuple[tuple[int, int], ...]
 
 
-def filling(counts: np.ndarray, room: int) -> list[int]:
-    """Lengths that fill ``room`` best, longest first; best fit is the first solution, then branch and bound.
+def dominated(chosen: list[int], counts: np.ndarray, there: int, room: int) -> bool:
+    """Whether a longer piece that is left could replace some of the chosen ones within the same sequence.
 
-    A filling with fewer, longer pieces dominates one that replaces a piece by shorter ones of the
-    same sum, so pieces are tried from long to short and an equal waste does not replace the
-    incumbent. A branch ends when its waste cannot fall below the incumbent's: when all pieces that
-    still fit, with their counts, leave more room than that.
+    A solution with ``chosen`` then is never better than one with that piece, as the replaced ones fit
+    wherever it was. ``there`` has bit x set where there are pieces of length x.
+    """
+    waste = room - sum(chosen)
+    # Bit s: some one piece, or two and more, add up to s.
+    one, more = 0, 0
+    for x in chosen:
+        more |= (one | more) << x
+        one |= 1 << x
+        if counts[x] <= chosen.count(x):
+            there &= ~(1 << x)
+    # Sums that a piece exceeds by 1 to ``waste``.
+    sums, reach = one | more, 0
+    step, width = sums << 1, 1
+    while waste:
+        if waste & 1:
+            reach = reach << width | step
+        step |= step << width
+        width *= 2
+        waste >>= 1
+    return bool((more | reach) & there)
+
+
+def fillings(counts: np.ndarray, room: int) -> tuple[list[list[int]], bool, int]:
+    """``(fillings, whether all, steps)``: undominated fillings of ``room``, least waste first, then those with the longest pieces.
+
+    Pieces are tried from long to short. A branch ends when nothing is left that fits. Steps are bounded,
+    and at most ``WIDTH`` fillings are kept.
     """
     lengths = np.flatnonzero(counts[: room + 1]).tolist()
-    if not lengths:
-        return []
-    total = np.cumsum([x * int(counts[x]) for x in lengths]).tolist()
-    best: list[int] = []
-    waste, steps = room + 1, 0
+    found: list[list[int]] = []
+    steps = 0
+    # Few lengths are searched through.
+    most = FILLING_STEPS if len(lengths) > 16 else 20 * FILLING_STEPS
     stack = [(room, len(lengths) - 1, [])]
-    while stack and waste and steps < NODES:
+    while stack and steps < most:
         left, at, chosen = stack.pop()
         steps += 1
-        if left < waste:
-            best, waste = chosen, left
         at = min(at, bisect_right(lengths, left) - 1)
-        if at < 0 or left - total[at] >= waste:
+        if at < 0:
+            found.append(chosen)
             continue
         x = lengths[at]
         stack.append((left, at - 1, chosen))
         if chosen.count(x) < counts[x]:
             stack.append((left - x, at, [*chosen, x]))
-    return best
-
-
-def completed(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """``(copies, lengths)``: fill around the longest piece, as often as the counts allow, until none is left."""
-    counts, found = counts.copy(), []
-    while (present := np.flatnonzero(counts)).size:
+    found = found or [[]]
+    found.sort(key=lambda f: (room - sum(f), [-x for x in f]))
+    there = sum(1 << x for x in lengths)
+    kept = []
+    for chosen in found:
+        if not kept or not dominated(chosen, counts, there, room):
+            if len(kept) == WIDTH:
+                return kept, False, steps
+            kept.append(chosen)
+    return kept, not stack, steps
+
+
+def completions(counts: np.ndarray, capacity: int, limit: int, most: int, steps: int) -> tuple[Plan | None, bool, int]:
+    """``(plan, complete, steps left)``: branch and bound around the longest piece, at most ``limit`` choices from the first.
+
+    Every node fills one sequence around the longest piece left, in one of its undominated fillings and
+    as often as the counts allow; another filling, or fewer copies, is a choice away. A node is cut when
+    its sequences, and those that its remaining tokens need at the least, reach ``most``. ``complete``
+    tells that no node was cut for its choices, so that nothing better exists.
+    """
+    sizes = np.arange(len(counts))
+    best, complete = None, True
+    stack = [(counts, 0, limit, None)]
+    while stack and steps > 0:
+        counts, used, limit, plan = stack.pop()
+        present = np.flatnonzero(counts)
+        if used + -(-int(counts @ sizes) // capacity) >= most:
+            continue
+        if not present.size:
+            best, most = plan, used
+            continue
         longest = int(present[-1])
         counts[longest] -= 1
-        chosen = [longest, *filling(counts, capacity - longest)]
+        ways, whole, taken = fillings(counts, capacity - longest)
         counts[longest] += 1
-        need = np.bincount(chosen, minlength=len(counts))
-        used = np.flatnonzero(need)
-        copies = int((counts[used] // need[used]).min())
-        counts[used] -= copies * need[used]
-        found.append((copies, tuple(chosen)))
-    return found
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+        complete, steps = complete and whole, steps - taken - NODE_STEPS
+        nexts = []
+        for i, chosen in enumerate(ways):
+            need = np.bincount([longest, *chosen], minlength=len(counts))
+            held = np.flatnonzero(need)
+            copies = int((counts[held] // need[held]).min())
+            for fewer in range(copies):
+                if i + fewer > limit:
+                    complete = False
+                    break
+                rest = counts.copy()
+                rest[held] -= (copies - fewer) * need[held]
+                nexts.append((rest, used + copies - fewer, limit - i - fewer, (copies - fewer, (longest, *chosen), plan)))
+        stack.extend(reversed(nexts))
+    found = None
+    if best is not None or most == 0:
+        found = []
+        while best:
+            found.append(best[:2])
+            best = best[2]
+    return found, complete and not stack, steps
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     """Best fit decreasing on counts: equal bins are handled together."""
     bins: dict[tuple[int, ...], int] = {}
     rooms: dict[int, list[tuple[int, ...]]] = {}
@@ -119,17 +194,59 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ..
     return [(n, b) for b, n in bins.items()]
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns for ``counts[length]`` pieces; bin completion, or best fit should that need fewer sequences."""
-    plans = [completed(counts, capacity), best_fit(counts, capacity)]
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that are needed at the least: for all tokens, and for the pieces of which no two share one."""
+    sizes = np.arange(len(counts))
+    return max(-(-int(counts @ sizes) // capacity), int(counts[capacity // 2 + 1 :].sum()))
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[Pattern], int]:
+    """``(patterns, bound)`` for ``counts[length]`` pieces: the plan, and the fewest sequences that any plan can have.
+
+    Best fit decreasing is the first incumbent. Where it needs more than the bound, bins are completed by
+    branch and bound, first along the first choices, then with more and more others, until the bound
+    is met, everything has been searched (then ``bound`` is the optimum), or ``STEPS`` steps have been
+    made. The number of sequences and ``bound`` tell how far from the optimum a plan can be.
+    """
+    plan = best_fit(counts, capacity)
+    bound, most = lower_bound(counts, capacity), sum(n for n, _ in plan)
+    limit, steps, width = 0, STEPS, int(counts.sum())
+    while most > bound and steps > 0 and limit <= width:
+        better, complete, steps = completions(counts, capacity, limit, most, steps)
+        if better is not None:
+            plan, most = better, sum(n for n, _ in better)
+        if complete:
+            bound = most
+        limit = 2 * limit + 1 if limit > 8 else limit + 1
     patterns, first = [], 0
-    for copies, lengths in min(plans, key=lambda p: sum(n for n, _ in p)):
+    for copies, lengths in plan:
         items: dict[int, int] = {}
         for x in lengths:
             items[x] = items.get(x, 0) + 1
         patterns.append(Pattern(first, copies, tuple(items.items())))
         first += copies
-    return patterns
+    return patterns, bound
+
+
+def plain_tokenizer(definition: str) -> tuple[Tokenizer | None, np.ndarray]:
+    """A tokenizer for words of lower-case letters in composed form, and which ids end a word.
+
+    On such words the normalisation and the pattern that takes texts apart change nothing, so they are
+    left out: most of the time is theirs. None if the definition is not of this kind.
+    """
+    parts = json.loads(definition)
+    normal = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    pattern = before[0].get("pattern", {}).get("Regex", "")
+    suffix = parts["model"].get("end_of_word_suffix")
+    if normal != ["NFC", "Replace", "Lowercase"] or "[\\p{L}]+" not in pattern or before[0].get("behavior") != "Removed" or not suffix:
+        return None, np.zeros(0, bool)
+    vocab = parts["model"]["vocab"]
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+    parts["normalizer"] = None
+    parts["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    return Tokenizer.from_str(json.dumps(parts)), ends
 
 
 class Encoder:
@@ -138,27 +255,68 @@ class Encoder:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
+        self.plain, self.ends = plain_tokenizer(definition)
         self.known: dict[str, bytes] = {}
         self.again: set[str] = set()
+        self.bytes = 0
+
+    def words(self, text: str) -> list[str] | None:
+        """Parts of a text that can be encoded one by one, None if it has to be encoded whole.
+
+        The tokenizer lower-cases by itself; doing that to A-Z before leaves fewer words to encode.
+        """
+        if any(c in text for c in ODD):
+            return None
+        return ENDING.sub(r" \g<0>", text.encode().lower().decode()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in ODD) else t.split() for t in texts]
-        if len(self.known) > CACHED:
+        split = [self.words(t) for t in texts]
+        if self.bytes > CACHED:
             # Most words are met once; those met again stay, unless they are too many themselves.
-            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHED // 2 else {}
+            kept = {w: self.known[w] for w in self.again}
+            size = self._size(kept)
+            self.known, self.bytes = (kept, size) if size < CACHED // 2 else ({}, 0)
             self.again.clear()
-        met = {w for words in split if words for w in words}
-        self.again.update(met & self.known.keys())
-        new = list(met - self.known.keys())
-        self.known.update(zip(new, self._words(new), strict=True))
+        met = set().union(*(words for words in split if words))
+        new = met.difference(self.known)
+        self.again.update(met.difference(new))
+        new = list(new)
+        added = dict(zip(new, self._words(new), strict=True))
+        self.known.update(added)
+        self.bytes += self._size(added)
         find = self.known.__getitem__
         return [self._ids(t) if words is None else b"".join(map(find, words)) for t, words in zip(texts, split, strict=True)]
 
+    @staticmethod
+    def _size(words: dict[str, bytes]) -> int:
+        return sum(map(len, words)) + sum(map(len, words.values()))
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each word. Many are encoded in one call, with a word of its own between them."""
+        if self.plain:
+            simple = [w.isalpha() and w == w.lower() and is_normalized("NFC", w) for w in words]
+            found = self._plain([w for w, s in zip(words, simple) if s])
+            others = self._marked([w for w, s in zip(words, simple) if not s])
+            yield from (next(found) if s else next(others) for s in simple)
+        else:
+            yield from self._marked(words)
+
+    def _plain(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of lower-case letters: each ends with the first id that ends a word."""
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part):
+                data = ids.tobytes()
+                yield from (data[a:b] for a, b in zip([0, *stops], stops))
+            else:
+                yield from map(self._ids, part)
+
+    def _marked(self, words: list[str]) -> Iterator[bytes]:
         mark = self._ids(BREAK)
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
@@ -272,7 +430,7 @@ def pack(
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
-    found = slots(solve(counts, capacity))
+    found = slots(solve(counts, capacity)[0])
     # One row per length: at most ``capacity`` rows, whatever the number of documents.
     plan = spark.createDataFrame(
         found, "length long, slots array<struct<begin:bigint,stop:bigint,first:bigint,often:bigint,offset:bigint>>"

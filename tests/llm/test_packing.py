@@ -17,21 +17,80 @@ DEFINITION = packing.read_definition(public_tokenizers.path("word_bpe_49k.json")
 def test_plan(lengths):
     """Every piece is used once, no sequence is too long, and bin completion is never worse than best fit."""
     counts = np.bincount(lengths, minlength=41)
-    patterns = packing.solve(counts, 40)
+    patterns, bound = packing.solve(counts, 40)
     used = np.zeros(41, int)
     for p in patterns:
         assert sum(x * n for x, n in p.items) <= 40
         for x, n in p.items:
             used[x] += n * p.copies
     assert (used == counts).all()
-    assert sum(p.copies for p in patterns) <= sum(n for n, _ in packing.best_fit(counts, 40))
+    assert bound <= sum(p.copies for p in patterns) <= sum(n for n, _ in packing.best_fit(counts, 40))
     assert [p.first for p in patterns] == np.cumsum([0, *[p.copies for p in patterns]])[:-1].tolist()
 
 
 def test_completion_beats_best_fit():
     """Best fit decreasing needs three sequences here, two are enough."""
     counts = np.bincount([7, 6, 3, 3, 3, 2, 4, 4], minlength=17)
-    assert sum(p.copies for p in packing.solve(counts, 16)) == 2
+    assert sum(p.copies for p in packing.solve(counts, 16)[0]) == 2
+
+
+def fewest(lengths, capacity):
+    """By trying every sequence for every piece."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= lengths[i] and rooms[k] not in rooms[:k]:
+                place(i + 1, [r - lengths[i] if j == k else r for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(1, 40), max_size=10))
+def test_optimum(lengths):
+    """On few pieces the search is complete: no plan has fewer sequences, and the bound says so."""
+    patterns, bound = packing.solve(np.bincount(lengths, minlength=41), 40)
+    assert sum(p.copies for p in patterns) == fewest(lengths, 40) >= bound
+
+
+def test_branches_beyond_the_first_filling():
+    """The first filling of the longest piece is the wrong one, for best fit too."""
+    counts = np.zeros(2049, np.int64)
+    counts[[1224, 612, 510, 306, 204]], counts[[918, 714]] = 1000, 2000
+    patterns, bound = packing.solve(counts, 2048)
+    assert sum(n for n, _ in packing.best_fit(counts, 2048)) > 3000 == sum(p.copies for p in patterns)
+    assert bound == 2989
+
+
+TOKENIZER = Tokenizer.from_str(DEFINITION)
+WORD = st.text("aBzéÉßİΣς本́ͅ.,'!1½ -", max_size=8) | st.text(max_size=5) | st.sampled_from(["don't.", "U.S.,", "a.b.", "x!.", "1.", "é.,", "'s."])
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.lists(WORD, max_size=8).map(" ".join), max_size=5))
+def test_encoder(texts):
+    """Words, endings and plain words encoded apart give the ids of the whole text."""
+    found = packing.encoder_of(DEFINITION).encode(texts)
+    want = [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert found == want
+
+
+def test_encoder_forgets(monkeypatch):
+    """What is kept is bounded by bytes, whatever the words."""
+    monkeypatch.setattr(packing, "CACHED", 3_000)
+    encoder = packing.Encoder(DEFINITION)
+    for i in range(30):
+        encoder.encode([" ".join(f"{i}x{k} again" + "y" * k for k in range(30))])
+        assert encoder.bytes <= 3_000 + 10_000
 
 
 def test_pieces_and_places(edges, docs_of):
