@@ -1,15 +1,19 @@
 """Line dedup with a log-template tree; DataFrame functions only.
 
 A line's tokens are its words; a word with a digit is variable (``<*>``). The tree has fixed depth:
-lines part by their number of tokens, then by their first ``DEPTH`` tokens. Lines equal token for
-token are one template. The other lines of a leaf are generalised: a token is constant where a
-tenth of the leaf's lines, from two documents or more, have it at that place, and variable
-elsewhere; lines with the same constants share a template if enough of its tokens are constant.
-A template found in several documents recurs: its lines stay in the first document only.
-
-Leaves and lines travel as hashes; a whole line is shuffled once. A very common line is one row per
-task after partial aggregation, and at most ten tokens are constant at a place, so nothing that is
-gathered for a leaf grows with its lines.
+lines part by their number of tokens, then by their first ``DEPTH`` tokens. The distinct lines of a leaf
+are generalised together: places where all have the same token are constant, the others variable.
+If enough is constant, the leaf is one template. If not, it is parted by the tokens of one place, and
+each part is looked at again, until it is a template or a single line. Words that tell templates apart
+change together, so that place is one of those whose number of different tokens most places have.
+A leaf can hold any number of templates, however often each occurs.
+
+A template found in several documents recurs, and so does a line that several documents have
+literally: such lines stay in the first document only. Which template a line belongs to does not
+depend on how many lines the table has besides those of its leaf.
+
+Lines travel as hashes; a whole line is shuffled once. A very common line is one row per task after
+partial aggregation; the tokens of a leaf are counted by place and token, so no leaf is gathered.
 """
 
 from __future__ import annotations
@@ -18,36 +22,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kategora.llm.exact_dedup import RUNS
-from kategora.plans.storage import staged
+from kategora.plans.storage import discard, staged
 
 DEPTH = 3
+# Lines with variable words have so many tokens, at least half of them constant.
 MIN_TOKENS = 3
 # Lines that are generalised have so many tokens, of which so many per cent are constant.
 MIN_GENERAL = 6
 CONSTANT = 70
-# A constant token has one in so many of the leaf's lines.
-SUPPORT = 10
+# Other lines recur only literally, and have so many characters.
+MIN_CHARS = 12
 WILD = "<*>"
-# Marks a variable place of a line while it is compared; no token contains a line feed.
-OPEN = "\n"
 
 
-def tokens_of(line: Column) -> Column:
-    """Line with single spaces and ``<*>`` for words that have a digit."""
-    plain = F.array(F.trim(F.regexp_replace(line, RUNS, " ")))
-    # A transform of one element gives the spaced line a name, so it is made once.
-    masked = F.transform(plain, lambda p: F.when(p.rlike("[0-9]"), F.regexp_replace(p, "[^ ]*[0-9][^ ]*", WILD)).otherwise(p))
-    return F.get(masked, F.lit(0))
+def spaced(line: Column) -> Column:
+    """Line with single spaces."""
+    return F.trim(F.regexp_replace(line, RUNS, " "))
+
+
+def masked(line: Column) -> Column:
+    """Line with ``<*>`` for words that have a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """``id, hash, pos, line, leaf, key`` of every line with ``MIN_TOKENS`` tokens, half of them not variable."""
-    # Tokens are found below the explode: the filter after it then tests the made line instead of making it again.
-    lines = rows.select("id", "hash", F.posexplode(F.transform(F.split("text", "\n"), tokens_of)).alias("pos", "line"))
+    """``id, hash, pos, line, n, leaf, key`` of every line that can recur; ``n`` tokens, 0 for one that only recurs literally."""
+    # Lines are made below the explode: what is tested after it is not made again.
+    both = F.transform(
+        F.split("text", "\n"), lambda raw: F.transform(F.array(spaced(raw)), lambda l: F.struct(l.alias("literal"), masked(l).alias("line")))
+    )
+    lines = rows.select("id", "hash", F.posexplode(F.flatten(both)).alias("pos", "made")).select("id", "hash", "pos", "made.literal", "made.line")
     size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     wild = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(WILD)))) / len(WILD)
-    lines = lines.withColumn("n", size).filter((F.col("n") >= MIN_TOKENS) & (2 * wild <= F.col("n")))
-    leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
+    plain = (F.col("size") >= MIN_TOKENS) & (2 * F.when(F.col("line") == F.col("literal"), 0).otherwise(wild) <= F.col("size"))
+    lines = lines.withColumn("size", size).withColumn("n", F.when(plain, F.col("size")).otherwise(0))
+    lines = lines.filter((F.col("n") > 0) | (F.char_length("literal") >= MIN_CHARS))
+    line = F.when(F.col("n") > 0, F.col("line")).otherwise(F.col("literal"))
+    # Two hashes of a line that is not generalised; with the leaf, those that are have two as well.
+    tree = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
+    lines = lines.select("id", "hash", "pos", line.alias("line"), "n")
+    leaf = F.when(F.col("n") >= MIN_GENERAL, tree).otherwise(F.xxhash64("n", "line", F.lit("alone")))
     return lines.select("id", "hash", "pos", "line", "n", leaf.alias("leaf"), F.xxhash64("line").alias("key"))
 
 
@@ -67,53 +81,64 @@ def first() -> Column:
     return F.when(F.col("named") == F.col("rows"), F.col("low")).alias("first")
 
 
+def together() -> list[Column]:
+    """``documents_seen`` of several rows that have it."""
+    return [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("named").alias("named"), F.sum("rows").alias("rows")]
+
+
+SEEN = ["low", "high", "named", "rows"]
+
+
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, hash, lines``: for each document, the numbers (from 0) of the lines to drop; rows without any are left out."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).filter("text is not null")
     lines = lines_of(rows)
     seen = staged(lines.groupBy("leaf", "key", "n").agg(*documents_seen()), "lines")
-    exact = seen.filter(several()).select("leaf", "key", first(), F.lit(None).cast("bigint").alias("size"))
-    alone = seen.filter(~several() & (F.col("n") >= MIN_GENERAL)).withColumn("id", F.when(F.col("named") > 0, F.col("low")))
-    leaves = alone.select("leaf", "id", F.col("rows").alias("lines")).groupBy("leaf").agg(*documents_seen(), F.sum("lines").alias("size"))
-    leaves = leaves.filter(several()).select("leaf", "size")
-    nobody = F.lit(None).cast(rows.schema["id"].dataType).alias("first")
-    rest = alone.join(leaves, "leaf").select("leaf", "key", nobody, "size")
-    general = F.col("size").isNotNull()
-    found = staged(
-        lines.join(exact.unionByName(rest), ["leaf", "key"]).select(
-            "id", "hash", "pos", "leaf", "n", "size", "first", F.when(general, F.col("line")).alias("line")
-        ),
-        "line-candidates",
+    # Leaves with several lines, from several documents, are looked into; elsewhere a line recurs as it is.
+    leaves = seen.filter(F.col("n") >= MIN_GENERAL).groupBy("leaf").agg(F.count("*").alias("kinds"), *together())
+    leaves = leaves.filter((F.col("kinds") > 1) & several()).select("leaf", F.lit(True).alias("open"))
+    marked = seen.join(leaves, "leaf", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    wanted = marked.filter(F.col("open") | several()).select("leaf", "key", "open", *SEEN)
+    found = lines.join(wanted, ["leaf", "key"]).select(
+        "id", "hash", "pos", "leaf", "key", "open", *SEEN, F.when(F.col("open"), F.col("line")).alias("line")
     )
-    drops = found.filter(~general & ~F.col("first").eqNullSafe(F.col("id"))).select("id", "hash", "pos")
-    drops = drops.unionByName(_generalised(found.filter(general).drop("first")))
+    found = staged(found, "line-candidates")
+    classes = _templates(found.filter("open"))
+    whole = F.when(~F.col("open"), first())
+    hits = found.filter(~F.col("open")).select("id", "hash", "pos", whole.alias("first"))
+    general = found.filter("open").select("id", "hash", "pos", "leaf", "key").join(classes, ["leaf", "key"])
+    hits = hits.unionByName(general.select("id", "hash", "pos", "first"))
+    drops = hits.filter(~F.col("first").eqNullSafe(F.col("id")))
     return drops.groupBy("id", "hash").agg(F.collect_set("pos").alias("lines"))
 
 
-def _generalised(lines: DataFrame) -> DataFrame:
-    """Lines to drop because their template, with variable places, recurs."""
-    each = lines.select("leaf", "size", "id", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    counts = each.filter(F.col("token") != WILD).groupBy("leaf", "size", "at", "token").agg(*documents_seen())
-    fixed = counts.filter((F.col("rows") * SUPPORT >= F.col("size")) & several())
-    fixed = fixed.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"))
-    tokens = F.split("line", " ")
-    places = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.transform(F.filter("fixed", lambda f: f["at"] == i), lambda f: f["token"]),
-    )
-    # The constants of a leaf are put in order of place once for each leaf and length.
-    shape = lines.select("leaf", F.col("n").cast("int").alias("n")).distinct().join(fixed, "leaf").select("leaf", "n", places.alias("places"))
-    joined = lines.withColumn("n", F.col("n").cast("int")).join(shape, ["leaf", "n"])
-    template = F.transform(tokens, lambda t, i: F.when(F.array_contains(F.get("places", i), t), t).otherwise(F.lit(OPEN)))
-    # Below an explode of one element, so that the filter on the template does not make it again.
-    named = joined.select("id", "hash", "pos", "leaf", "n", F.explode(F.array(template)).alias("template"))
-    constant = F.size(F.filter("template", lambda t: t != OPEN))
-    named = named.filter(100 * constant >= CONSTANT * F.col("n")).select(
-        "id", "hash", "pos", "leaf", "n", F.xxhash64(F.array_join("template", " ")).alias("template")
-    )
-    groups = named.groupBy("leaf", "n", "template").agg(*documents_seen()).filter(several())
-    hits = named.join(groups.select("leaf", "n", "template", first()), ["leaf", "n", "template"])
-    return hits.filter(~F.col("first").eqNullSafe(F.col("id"))).select("id", "hash", "pos")
+def _templates(lines: DataFrame) -> DataFrame:
+    """``leaf, key, first`` of the lines of open leaves that recur, as part of a template or by themselves."""
+    tokens = F.transform(F.split("line", " "), lambda t: F.xxhash64(t))
+    distinct = lines.groupBy("leaf", "key", *SEEN, "line").agg(F.count("*").alias("met"))
+    now = staged(distinct.select("leaf", "key", *SEEN, F.col("leaf").alias("group"), tokens.alias("tokens")), "leaves")
+    alone = now.select("leaf", "key", *SEEN)
+    found = None
+    while True:
+        groups = now.groupBy("group").agg(F.count("*").alias("kinds"), *together()).filter((F.col("kinds") > 1) & several())
+        live = now.join(groups.select("group", first()), "group")
+        places = live.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("met"))
+        places = places.groupBy("group", "at").agg(F.count("*").alias("kinds"), F.min("token").alias("token"))
+        fixed = (F.col("kinds") == 1) & (F.col("token") != F.xxhash64(F.lit(WILD)))
+        alike = places.groupBy("group", "kinds").agg(F.count("*").alias("places"), F.count(F.when(fixed, 1)).alias("fixed"), F.min("at").alias("at"))
+        split = F.max(F.when(F.col("kinds") > 1, F.struct("places", -F.col("kinds"), "at")))
+        judged = alike.groupBy("group").agg((100 * F.sum("fixed") >= CONSTANT * F.sum("places")).alias("good"), split["at"].alias("at"))
+        step = live.join(judged, "group")
+        part = F.when(F.col("good"), F.col("group")).otherwise(F.xxhash64("group", "at", F.get("tokens", F.col("at"))))
+        step = staged(step.select("leaf", "key", *SEEN, part.alias("group"), "tokens", "good", "first"), "leaves")
+        good = step.filter("good").select("leaf", "key", "first")
+        found = good if found is None else found.unionByName(good)
+        now = step.filter("not good").select("leaf", "key", *SEEN, "group", "tokens")
+        if now.isEmpty():
+            break
+    # What no template has taken recurs as it is.
+    rest = alone.filter(several()).join(found, ["leaf", "key"], "left_anti")
+    return found.unionByName(rest.select("leaf", "key", first()))
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
@@ -122,8 +147,9 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", count:
     NULL texts stay NULL, texts that lose every line become empty. Of several documents with a
     template the one with the smallest key keeps its lines (NULL keys are smallest); rows of equal
     keys count as one document and keep or lose such lines together.
-    Lines of fewer than three tokens, or of mostly variable ones, always stay. Other columns pass
-    through whatever their names; an empty table gives an empty result.
+    Lines of fewer than three tokens, or of mostly variable ones, go only where they are literally equal
+    and have ``MIN_CHARS`` characters; blank lines stay. Other columns pass through whatever their names;
+    an empty table gives an empty result.
     """
     found = recurring(docs, key, text)
     mark = "".join(docs.columns) + "_"
@@ -140,42 +166,45 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", count:
 
 
 SQL = r"""
-WITH flat AS (
-  SELECT doc_id, hash, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM (SELECT doc_id, text, md5(text) AS hash FROM documents WHERE text IS NOT NULL)
+WITH RECURSIVE flat AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL
 ), spaced AS (
-  SELECT doc_id, hash, pos, regexp_replace(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
-  FROM flat
-), lines AS (
-  SELECT *, string_split(line, ' ') AS t, len(string_split(line, ' ')) AS n,
-    array_to_string(string_split(line, ' ')[1:3], ' ') AS prefix
+  SELECT doc_id, pos, literal, regexp_replace(literal, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
+  FROM (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS literal FROM flat)
+), sized AS (
+  SELECT *, string_split(line, ' ') AS t,
+    len(string_split(line, ' ')) >= 3 AND 2 * len(list_filter(string_split(line, ' '), lambda x: x = '<*>' )) <= len(string_split(line, ' ')) AS plain
   FROM spaced
-  WHERE len(string_split(line, ' ')) >= 3
-    AND 2 * len(list_filter(string_split(line, ' '), lambda x: x = '<*>')) <= len(string_split(line, ' '))
+), lines AS (
+  SELECT doc_id, pos, plain, t, CASE WHEN plain THEN line ELSE literal END AS line FROM sized WHERE plain OR length(literal) >= 12
 ), seen AS (
-  SELECT line, min(doc_id) AS first, max(doc_id) AS last FROM lines GROUP BY line
-), exact AS (
-  SELECT doc_id, pos FROM lines JOIN seen USING (line) WHERE first <> last AND doc_id <> first
-), alone AS (
-  SELECT lines.* FROM lines JOIN seen USING (line) WHERE first = last AND n >= 6
-), leaves AS (
-  SELECT n, prefix, count(*) AS size FROM alone GROUP BY ALL HAVING min(doc_id) <> max(doc_id)
-), cand AS (
-  SELECT alone.*, size FROM alone JOIN leaves USING (n, prefix)
-), each_token AS (
-  SELECT doc_id, pos, n, prefix, size, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM cand
-), fixed AS (
-  SELECT n, prefix, i, token FROM each_token WHERE token <> '<*>'
-  GROUP BY n, prefix, size, i, token HAVING count(*) * 10 >= size AND min(doc_id) <> max(doc_id)
-), named AS (
-  SELECT doc_id, pos, n, prefix, string_agg(coalesce(f.token, chr(10)), ' ' ORDER BY i) AS template
-  FROM each_token e LEFT JOIN fixed f USING (n, prefix, i, token)
-  GROUP BY doc_id, pos, n, prefix HAVING 100 * count(f.token) >= 70 * n
-), general AS (
-  SELECT doc_id, pos FROM named
-  JOIN (SELECT n, prefix, template, min(doc_id) AS first, max(doc_id) AS last FROM named GROUP BY ALL) USING (n, prefix, template)
-  WHERE first <> last AND doc_id <> first
-), drops AS (SELECT * FROM exact UNION SELECT * FROM general)
+  SELECT plain, line, any_value(t) AS t, min(doc_id) AS first, max(doc_id) AS last FROM lines GROUP BY plain, line
+), tree AS (
+  SELECT line, t, first, last, len(t) || ' ' || array_to_string(t[1:3], ' ') AS grp, false AS good, first AS keeps
+  FROM seen WHERE plain AND len(t) >= 6
+  UNION ALL
+  SELECT line, any_value(t), any_value(first), any_value(last),
+    CASE WHEN 100 * count(*) FILTER (kinds = 1 AND token <> '<*>') >= 70 * count(*) THEN grp
+      ELSE md5(grp || arg_max(i || ' ' || token, (alike, -kinds, -i)) FILTER (kinds > 1)) END,
+    100 * count(*) FILTER (kinds = 1 AND token <> '<*>') >= 70 * count(*), any_value(lowest)
+  FROM (
+    SELECT *, count(*) OVER (PARTITION BY grp, line, kinds) AS alike FROM (SELECT *, count(DISTINCT token) OVER (PARTITION BY grp, i) AS kinds
+    FROM (
+      SELECT line, t, first, last, grp, lowest, unnest(t) AS token, generate_subscripts(t, 1) AS i
+      FROM (
+        SELECT *, count(*) OVER (PARTITION BY grp) AS n, min(first) OVER (PARTITION BY grp) AS lowest, max(last) OVER (PARTITION BY grp) AS highest
+        FROM tree WHERE NOT good
+      ) WHERE n > 1 AND lowest <> highest
+    ))
+  ) GROUP BY line, grp
+), kept AS (
+  SELECT s.plain, s.line, coalesce(g.keeps, s.first) AS first
+  FROM seen s LEFT JOIN (SELECT line, keeps FROM tree WHERE good) g ON s.plain AND s.line = g.line
+  WHERE g.line IS NOT NULL OR s.first <> s.last
+), drops AS (
+  SELECT doc_id, pos FROM lines JOIN kept USING (plain, line) WHERE doc_id <> first
+)
 SELECT doc_id, sha256(text) AS text_sha256, n_dropped FROM (
   SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(n_dropped, 0) AS n_dropped
   FROM documents d

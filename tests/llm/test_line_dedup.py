@@ -1,3 +1,9 @@
+import random
+import re
+import time
+
+import pytest
+
 from kategora.llm.line_dedup import drop_lines
 
 PROSE = "the quick brown fox jumps over the lazy dog near riverbank number"
@@ -42,3 +48,94 @@ def test_empty_and_native(docs_of):
     assert drop_lines(docs_of()).count() == 0
     plan = drop_lines(docs_of((1, "a b c"), (2, "a b c")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_rest(docs):
+    """The template tree on plain lists: ``(doc_id, text)`` of unique, non-null ids."""
+    lines, seen = [], {}
+    for doc, text in docs:
+        for pos, raw in enumerate((text or "").split("\n")):
+            literal = re.sub("[\x20\x09-\x0d]+", " ", raw).strip(" ")
+            tokens = re.sub("[^ ]*[0-9][^ ]*", "<*>", literal).split(" ")
+            plain = len(tokens) >= 3 and 2 * tokens.count("<*>") <= len(tokens)
+            if plain or len(literal) >= 12:
+                line = (plain, " ".join(tokens) if plain else literal)
+                lines.append((doc, pos, line))
+                seen.setdefault(line, set()).add(doc)
+    first = {line: min(of) for line, of in seen.items()}
+
+    def grow(group):
+        of = set().union(*(seen[line] for line in group))
+        if len(group) < 2 or len(of) < 2:
+            return
+        rows = [line[1].split(" ") for line in group]
+        kinds = [set(column) for column in zip(*rows)]
+        if 100 * sum(len(k) == 1 and k != {"<*>"} for k in kinds) >= 70 * len(kinds):
+            first.update(dict.fromkeys(group, min(of)))
+            return
+        sizes = [len(k) for k in kinds]
+        at = max((sizes.count(n), -n, -i) for i, n in enumerate(sizes) if n > 1)[2] * -1
+        parts = {}
+        for line, row in zip(group, rows):
+            parts.setdefault(row[at], []).append(line)
+        for part in parts.values():
+            grow(part)
+
+    leaves = {}
+    for plain, line in seen:
+        tokens = line.split(" ")
+        if plain and len(tokens) >= 6:
+            leaves.setdefault((len(tokens), *tokens[:3]), []).append((plain, line))
+    for leaf in leaves.values():
+        grow(leaf)
+    drop = {(doc, pos) for doc, pos, line in lines if first[line] != doc}
+    return {(doc, "\n".join(raw for pos, raw in enumerate(text.split("\n")) if (doc, pos) not in drop)) for doc, text in docs}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plain_model(docs_of, seed):
+    """Few words, so that leaves hold many lines, templates and chance neighbours."""
+    draw = random.Random(seed)
+    vocab = ["a", "the", "of", "on", "x1", "22"]
+
+    def line():
+        kind = draw.random()
+        if kind < 0.3:
+            return f"user {draw.choice('abc')} has logged {draw.choice(vocab)} from host number {draw.randint(0, 9)}"
+        if kind < 0.5:
+            return "".join(draw.choice("本日語 ") for _ in range(draw.choice([5, 14])))
+        return " ".join(["the", "a", "of"] + [draw.choice(vocab) for _ in range(draw.choice([0, 3, 4, 9]))])
+
+    docs = [(i, "\n".join(line() for _ in range(draw.randint(1, 6)))) for i in range(120)]
+    assert rest(docs_of(*docs)) == plain_rest(docs)
+
+
+@pytest.mark.parametrize("templates", [12, 20])
+def test_many_templates_in_a_leaf(docs_of, templates):
+    """However many templates share a leaf, each stays in one document only."""
+    kinds = ["".join(chr(97 + i // 5 ** k % 5) for k in range(3)) for i in range(templates)]
+    docs = [(100 * t + i, f"Sent by the {k}a {k}b {k}c {k}d office clerk name{chr(97 + i)} today") for t, k in enumerate(kinds) for i in range(10)]
+    got = rest(docs_of(*docs))
+    assert got == {(d, text if d % 100 == 0 else "") for d, text in docs}
+
+
+def test_names_that_recur(docs_of):
+    """One template whose every variant is in two documents: one line stays in all."""
+    docs = [(2 * i + k, f"Posted today by name{chr(97 + i % 26)}{chr(97 + i // 26)} under the general news heading") for i in range(50) for k in range(2)]
+    assert rest(docs_of(*docs)) == {docs[0], *[(d, "") for d, _ in docs[1:]]}
+
+
+def test_unspaced_and_figures(docs_of):
+    """Lines of one token, or of figures, recur where they are literally equal."""
+    line, prices = "全著作権所有無断転載を固く禁じます", "12.50 13.75 99.00 1.25"
+    docs = [(i, f"{line}\n{prices}\n{i} {i} {i} 1 2 3 4 5") for i in range(50)]
+    assert rest(docs_of(*docs)) == {docs[0], *[(i, f"{i} {i} {i} 1 2 3 4 5") for i in range(1, 50)]}
+
+
+def test_long_lines(docs_of):
+    """Two lines of 60,000 tokens in one leaf, a tenth of them different."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(60_000)]
+    other = [w + "x" if i > 5 and i % 10 == 0 else w for i, w in enumerate(words)]
+    began = time.time()
+    assert rest(docs_of((1, " ".join(words)), (2, " ".join(other)))) == {(1, " ".join(words)), (2, "")}
+    assert time.time() - began < 60
