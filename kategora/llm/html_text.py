@@ -1,15 +1,19 @@
 """HTML extraction: the article of a page, without what its site repeats.
 
-Two passes over the pages. The first hashes every element subtree that could be part of a template;
-Spark counts, per host, the different pages that have it. The second deletes the subtrees that many pages of
-the host share, together with what is never main text by its tag, role, class or id, and reads the
-blocks of the rest. Between them goes one narrow row for each page with a subtree to delete.
+Two passes over the pages. The first hashes every element subtree that has a text, whatever its tag, role or
+class; Spark counts, per host, the different pages that have it. The second deletes the subtrees that many pages of
+the host share. Only from what is left it then takes what is never main text by its tag, role, class or id,
+and reads the blocks of the rest. Between the passes goes one narrow row for each page with a subtree to delete.
+
+Two kinds of subtrees are not counted: those that hold the article itself, and the prose of an article (its
+paragraphs, headings, lists and tables), as articles of a site may quote the same passage.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,7 +59,7 @@ FRAME = set("sidebar side aside header footer masthead nav navbar navigation men
 SECOND = set("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 NAME_PARTS = re.compile(r"[a-z]+")
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
@@ -73,6 +77,8 @@ def parse(page: str) -> Element:
     """Tree of a page. Missing end tags are added as browsers do for the common elements; a tag or comment cut off at the end is dropped."""
     root = Element("html")
     stack, at = [root], 0
+    # How many of each element are open: an end tag without one is passed over at once.
+    opened: Counter[str] = Counter()
     size = len(page)
     while at < size:
         m = TAG.search(page, at)
@@ -86,55 +92,68 @@ def parse(page: str) -> Element:
             continue
         name = m[2].lower()
         if m[1]:
-            _close(stack, name)
+            if opened[name]:
+                _close(stack, name, opened)
             continue
-        if not page.endswith(">", 0, at):
-            break
+        attributes = m[3]
+        if not m[4]:
+            # Cut off, or a quote that is never closed: then the tag ends with the next bracket.
+            end = page.find(">", m.end(2))
+            if end < 0:
+                break
+            at, attributes = end + 1, page[m.end(2) : end]
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:
-            _close_p(stack)
+            _close_p(stack, opened)
         if name in SAME:
-            _close_same(stack, SAME[name])
-        element = Element(name, _marks(m[3]) if m[3] else frozenset())
+            _close_same(stack, SAME[name], opened)
+        element = Element(name, _marks(attributes) if attributes else frozenset())
         if name in MAIN and not element.marks & SECOND:
             element.marks = frozenset()
             for outer in stack:
                 outer.marks -= FRAME
         stack[-1].parts.append(element)
-        if name in VOID or m[3].endswith("/") and name not in RAW and name not in INLINE | CLOSES_P:
+        if name in VOID or attributes.endswith("/") and name not in RAW and name not in INLINE | CLOSES_P:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
         stack.append(element)
+        opened[name] += 1
     return root
 
 
-def _close(stack: list[Element], name: str) -> None:
+def _cut(stack: list[Element], i: int, opened: Counter) -> None:
+    for element in stack[i:]:
+        opened[element.tag] -= 1
+    del stack[i:]
+
+
+def _close(stack: list[Element], name: str, opened: Counter) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == name:
-            del stack[i:]
+            _cut(stack, i, opened)
             return
         # An end tag does not reach out of a block that is still open, unless it ends a block itself.
         if name in INLINE and stack[i].tag not in INLINE:
             return
 
 
-def _close_p(stack: list[Element]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
+def _close_p(stack: list[Element], opened: Counter) -> None:
+    for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
         if stack[i].tag == "p":
-            del stack[i:]
+            _cut(stack, i, opened)
             return
         if stack[i].tag not in INLINE:
             return
 
 
-def _close_same(stack: list[Element], names: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
+def _close_same(stack: list[Element], names: set[str], opened: Counter) -> None:
+    for i in range(len(stack) - 1, 0, -1) if any(opened[n] for n in names) else ():
         if stack[i].tag in names:
-            del stack[i:]
+            _cut(stack, i, opened)
             return
         if stack[i].tag in STOPS:
             return
@@ -156,57 +175,65 @@ def dropped(element: Element, in_main: bool) -> bool:
     return element.tag in NEVER or bool(element.marks) or element.tag == "header" and not in_main
 
 
-def mains(element: Element, found: list[Element]) -> list[Element]:
-    """Outermost articles, or what stands for them."""
-    for part in element.parts:
-        if isinstance(part, Element) and not dropped(part, False):
+def is_main(element: Element) -> bool:
+    return element.tag in MAIN and not element.marks
+
+
+def mains(element: Element, delete: set[int]) -> list[Element]:
+    """Outermost articles below an element, or what stands for them, in page order."""
+    found, stack = [], list(reversed(element.parts))
+    while stack:
+        part = stack.pop()
+        if isinstance(part, Element) and id(part) not in delete and not dropped(part, False):
             if part.tag in MAIN:
                 found.append(part)
             else:
-                mains(part, found)
+                stack.extend(reversed(part.parts))
     return found
 
 
-def content(root: Element) -> list[Element]:
+def content(root: Element, delete: set[int]) -> list[Element]:
     """Elements that hold the main text: articles, inside ``main`` if it has some; else the whole page."""
     found = []
-    for main in mains(root, []):
-        inner = mains(main, []) if main.tag == "main" else []
+    for main in mains(root, delete):
+        inner = mains(main, delete) if main.tag == "main" else []
         found += inner or [main]
     return found or [root]
 
 
-def subtree_hash(element: Element, in_main: bool, protect: bool, out: dict[int, Element] | None) -> int:
-    """Hash of tag, texts and children. ``out`` gets those that may be deleted as templates.
+class Frame:
+    """An element whose subtree is being hashed."""
 
-    ``protect``: inside an article its prose is no template, however many pages quote it.
-    """
-    digest = xxhash.xxh64(element.tag.encode())
-    words = False
-    for part in element.parts:
-        if isinstance(part, str):
-            text = " ".join(part.split())
-            if text:
-                words = True
-                digest.update(b"\0" + text.encode("utf-8", "surrogatepass"))
-        elif not dropped(part, in_main):
-            value = subtree_hash(part, in_main, protect, out)
-            words = True
-            digest.update(b"\1" + value.to_bytes(8, "little", signed=True))
-    value = digest.intdigest() - (1 << 63)
-    if out is not None and words and element.tag not in INLINE and not (protect and element.tag in PROSE):
-        out[id(element)] = value
-    return value
+    def __init__(self, element: Element, in_main: bool):
+        self.element, self.in_main = element, in_main or is_main(element)
+        self.parts = iter(element.parts)
+        self.digest = xxhash.xxh64(element.tag.encode())
+        self.words, self.holds_main = False, is_main(element)
 
 
 def candidates(root: Element) -> dict[int, int]:
-    """Hashes of the subtrees that may be deleted, by element; never the content as a whole."""
+    """Hashes of the subtrees that may be deleted, by element: of tags, texts and children, bottom up."""
     found: dict[int, int] = {}
-    for top in content(root):
-        in_main = top.tag in MAIN
-        for part in top.parts:
-            if isinstance(part, Element) and not dropped(part, in_main):
-                subtree_hash(part, in_main, in_main, found)
+    frames = [Frame(root, False)]
+    while frames:
+        top = frames[-1]
+        part = next(top.parts, None)
+        if isinstance(part, str):
+            text = " ".join(part.split())
+            if text:
+                top.words = True
+                top.digest.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+        elif part is not None:
+            frames.append(Frame(part, top.in_main))
+        else:
+            frames.pop()
+            value, tag = top.digest.intdigest() - (1 << 63), top.element.tag
+            if frames and top.words and not top.holds_main and tag not in INLINE and not (top.in_main and tag in PROSE):
+                found[id(top.element)] = value
+            if frames:
+                frames[-1].digest.update(b"\1" + value.to_bytes(8, "little", signed=True))
+                frames[-1].words |= top.words
+                frames[-1].holds_main |= top.holds_main
     return found
 
 
@@ -215,32 +242,38 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    hashes = candidates(root) if templates else {}
+    delete = {k for k, h in candidates(root).items() if h in templates} if templates else set()
     out: list[str] = []
-    for top in content(root):
-        _read(top, top.tag in MAIN, {k for k, h in hashes.items() if h in templates}, out)
+    for top in content(root, delete):
+        _read(top, top.tag in MAIN, delete, out)
         out.append(" ")
     return " ".join("".join(out).split())
 
 
 def _read(element: Element, in_main: bool, delete: set[int], out: list[str]) -> None:
-    for part in element.parts:
+    stack: list[str | Element] = list(reversed(element.parts))
+    while stack:
+        part = stack.pop()
         if isinstance(part, str):
             out.append(html.unescape(part))
-        elif not dropped(part, in_main) and id(part) not in delete:
+        elif id(part) not in delete and not dropped(part, in_main):
             block = part.tag not in INLINE
             if block:
                 out.append(" ")
-            _read(part, in_main, delete, out)
-            if block:
-                out.append(" ")
+                stack.append(" ")
+            stack.extend(reversed(part.parts))
 
 
-def page_templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, subtree, n_pages``: the subtrees that many different pages of their host have; a page and its copies are one."""
+def page_subtrees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``host, at, subtree``: the subtrees of each page (``at``: hash of its html), written once."""
     rows = pages.select(host_of(url).alias("host"), F.xxhash64(page).alias("at"), F.col(page).alias("html"))
-    hosts = rows.select("host", "at").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
-    found = rows.mapInArrow(_explode, "host string, at long, subtree long").distinct()
+    return staged(rows.mapInArrow(_explode, "host string, at long, subtree long").distinct(), "subtrees")
+
+
+def page_templates(pages: DataFrame, found: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``host, subtree, n_pages``: of ``page_subtrees`` those that many different pages of their host have; a page and its copies are one."""
+    rows = pages.select(host_of(url).alias("host"), F.xxhash64(page).alias("at"))
+    hosts = rows.distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n_pages"))
     many = counts.filter(F.col("n_pages") >= MIN_PAGES)
     enough = F.least(F.lit(float(MANY_PAGES)), MIN_SHARE * F.col("n_host"))
@@ -256,20 +289,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """``key, url, text, n_chars`` for every page.
 
     NULL html counts as empty and gives an empty text. A NULL or odd url belongs to the host "".
-    NULL keys and repeated rows pass through (a page's templates are found by its url and html, so
+    NULL keys and repeated rows pass through (a page's templates are found by its host and html, so
     copies share them); other columns are ignored; an empty table gives an empty result. Pages are
     read whole.
     """
-    templates = staged(page_templates(pages, url, page), "templates")
+    found = page_subtrees(pages, url, page)
+    templates = staged(page_templates(pages, found, url, page), "templates")
+    hits = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("host", "at").agg(F.collect_set("subtree").alias("delete"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(url).alias("host"))
     kind = rows.schema["key"].dataType.simpleString()
-    rows = rows.withColumn("at", F.xxhash64("url", "html"))
-    if templates.isEmpty():
-        marked = rows.withColumn("delete", F.lit(None).cast("array<bigint>"))
-    else:
-        had = rows.select("host", "at", "html").mapInArrow(_explode, "host string, at long, subtree long")
-        hits = had.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("at").agg(F.collect_set("subtree").alias("delete"))
-        marked = rows.join(hits, "at", "left")
+    marked = rows.withColumn("at", F.xxhash64("html")).join(staged(hits, "hits"), ["host", "at"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

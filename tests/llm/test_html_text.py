@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from kategora.llm import html_text as ht
@@ -54,5 +57,44 @@ def test_many_pages_of_a_large_host(spark):
     assert found == {i: f"story number {i} is told here" for i in range(200)} | {500 + i: "told once and copied" for i in range(10)}
 
 
+def test_subtrees_are_counted_whatever_they_are(spark):
+    """Blocks that lists know too are counted and deleted as templates, against a plain count of the blocks of each page."""
+    draw = random.Random(6)
+    blocks = ["<nav><a>home</a></nav>", "<footer>about us</footer>", "<div class='sidebar'><p>more</p></div>", "<section>plain box</section>", "<div><p>rare box</p></div>"]
+    shares = [1, 0.8, 0.5, 0.4, 0.01]
+    rows, has = [], []
+    for i in range(150):
+        own = [b for b, share in zip(blocks, shares) if draw.random() < share]
+        has.append(own)
+        rows.append((i, "http://a.com/x", f"<body>{''.join(own)}<article><p>story {i}</p></article></body>"))
+    table = pages(spark, rows)
+    found = ht.page_templates(table, ht.page_subtrees(table)).collect()
+    counts = [sum(b in own for own in has) for b in blocks]
+    # The paragraph inside a block is a subtree of its own.
+    want = [n for n, b in zip(counts, blocks) for _ in range(1 + b.count("<p>")) if n >= 10]
+    assert sorted(r["n_pages"] for r in found) == sorted(want) and len(want) >= 4
+    texts = {r["page_id"]: r["text"] for r in ht.extract(table).collect()}
+    assert texts == {i: f"story {i}" for i in range(150)}
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        ("<div>" * 100_000 + "deep" + "</div>" * 100_000, 1),
+        ("<b>" * 50_000 + "deep" + "</i>" * 50_000, 1),
+        ("<article>" + "<p>one two</p>\n" * 700_000 + "</article>", 1_400_000),
+        ('<a ' * 100_000 + '"', 0),
+        ('<p title="never closed>one</p><p>two</p>', 2),
+    ],
+    ids=["deep", "wrong ends", "10 MB", "cut tags", "open quote"],
+)
+def test_hard_pages(page, words):
+    """Deep, long and broken pages take a time that grows with their length, and lose nothing else."""
+    began = time.time()
+    ht.candidates(ht.parse(page))
+    assert len(ht.main_text(page, frozenset([1])).split()) == words
+    assert time.time() - began < 60
+
+
 def test_empty(spark):
     assert ht.extract(pages(spark, [])).count() == 0
