@@ -2,11 +2,12 @@
 
 A line's tokens are its words; a word with a digit is variable (``<*>``). The tree has fixed depth:
 lines part by their number of tokens, then by their first ``DEPTH`` tokens. The distinct lines of a leaf
-are generalised together: places where all have the same token are constant, the others variable.
-If enough is constant, the leaf is one template. If not, it is parted by the tokens of one place, and
-each part is looked at again, until it is a template or a single line. Words that tell templates apart
-change together, so that place is one of those whose number of different tokens most places have.
-A leaf can hold any number of templates, however often each occurs.
+are generalised together. A token that more than half of the lines have at a place is constant there;
+lines that agree with the constants in enough places have one template, if they are at least half.
+The others, or else all lines parted by the tokens of one place, are looked at again in the same way.
+Words that tell templates apart change together, so the place is one of those without a constant whose
+number of different tokens most of them have. Every step at least almost halves what is left, so
+few are needed, and a leaf can hold any number of templates, however often each occurs.
 
 A template found in several documents recurs, and so does a line that several documents have
 literally: such lines stay in the first document only. Which template a line belongs to does not
@@ -112,28 +113,54 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return drops.groupBy("id", "hash").agg(F.collect_set("pos").alias("lines"))
 
 
+def _judged(met: DataFrame) -> DataFrame:
+    """``group, constants, at`` from the lines that have a token at a place: the constant token of each place (NULL for none), and where to part the group."""
+    free = 2 * F.col("top") <= F.col("size")
+    best = F.max(F.struct("met", "token"))
+    places = met.groupBy("group", "size", "at").agg(F.count("*").alias("kinds"), best.alias("best"))
+    places = places.select("group", "size", "at", "kinds", F.col("best.met").alias("top"), F.col("best.token").alias("token"))
+    constant = F.when(~free & (F.col("token") != F.xxhash64(F.lit(WILD))), F.col("token"))
+    alike = places.groupBy("group", "kinds", free.alias("free")).agg(
+        F.count("*").alias("places"), F.min("at").alias("at"), F.min(F.struct("top", "at")).alias("least"), F.collect_list(F.struct("at", constant.alias("token"))).alias("own")
+    )
+    # Places without a constant first; else the one whose commonest token is the least common.
+    either = lambda a, b: F.when(F.col("free"), a).otherwise(b)
+    way = F.struct(
+        either(F.lit(1), F.lit(0)).alias("free"),
+        either(F.col("places"), -F.col("least.top")).alias("much"),
+        either(-F.col("kinds"), F.lit(0)).alias("few"),
+        either(-F.col("at"), -F.col("least.at")).alias("at"),
+    )
+    split = F.max(F.when(F.col("kinds") > 1, way))
+    all_ = F.transform(F.sort_array(F.flatten(F.collect_list("own"))), lambda x: x["token"])
+    return alike.groupBy("group").agg(all_.alias("constants"), (-split["at"]).alias("at"))
+
+
 def _templates(lines: DataFrame) -> DataFrame:
     """``leaf, key, first`` of the lines of open leaves that recur, as part of a template or by themselves."""
     tokens = F.transform(F.split("line", " "), lambda t: F.xxhash64(t))
     distinct = lines.groupBy("leaf", "key", *SEEN, "line").agg(F.count("*").alias("met"))
     now = staged(distinct.select("leaf", "key", *SEEN, F.col("leaf").alias("group"), tokens.alias("tokens")), "leaves")
-    alone = now.select("leaf", "key", *SEEN)
+    alone = staged(now.select("leaf", "key", *SEEN), "open-lines")
     found = None
     while True:
         groups = now.groupBy("group").agg(F.count("*").alias("kinds"), *together()).filter((F.col("kinds") > 1) & several())
-        live = now.join(groups.select("group", first()), "group")
-        places = live.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("met"))
-        places = places.groupBy("group", "at").agg(F.count("*").alias("kinds"), F.min("token").alias("token"))
-        fixed = (F.col("kinds") == 1) & (F.col("token") != F.xxhash64(F.lit(WILD)))
-        alike = places.groupBy("group", "kinds").agg(F.count("*").alias("places"), F.count(F.when(fixed, 1)).alias("fixed"), F.min("at").alias("at"))
-        split = F.max(F.when(F.col("kinds") > 1, F.struct("places", -F.col("kinds"), "at")))
-        judged = alike.groupBy("group").agg((100 * F.sum("fixed") >= CONSTANT * F.sum("places")).alias("good"), split["at"].alias("at"))
-        step = live.join(judged, "group")
-        part = F.when(F.col("good"), F.col("group")).otherwise(F.xxhash64("group", "at", F.get("tokens", F.col("at"))))
-        step = staged(step.select("leaf", "key", *SEEN, part.alias("group"), "tokens", "good", "first"), "leaves")
-        good = step.filter("good").select("leaf", "key", "first")
+        live = now.join(groups.select("group", F.col("kinds").alias("size")), "group")
+        met = live.select("group", "size", F.posexplode("tokens").alias("at", "token")).groupBy("group", "size", "at", "token").agg(F.count("*").alias("met"))
+        judged = _judged(met)
+        agree = F.aggregate(F.zip_with("tokens", "constants", lambda t, c: F.when(t == c, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+        scored = live.join(judged, "group").withColumn("hit", 100 * agree >= CONSTANT * F.size("tokens"))
+        scored = staged(scored.select("leaf", "key", *SEEN, "group", "tokens", "size", "hit", "at"), "leaves")
+        hits = scored.groupBy("group").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"))
+        step = scored.join(hits, "group").withColumn("good", 2 * F.col("hits") >= F.col("size"))
+        part = F.when(F.col("good"), F.xxhash64("group", F.lit(-1))).otherwise(F.xxhash64("group", "at", F.get("tokens", F.col("at"))))
+        step = staged(step.select("leaf", "key", *SEEN, F.when(F.col("good") & F.col("hit"), F.col("group")).alias("template"), part.alias("group"), "tokens"), "leaves")
+        discard(now, scored)
+        good = step.filter("template is not null")
+        lowest = good.groupBy("template").agg(*together()).filter(several()).select("template", first())
+        good = good.select("leaf", "key", "template").join(lowest, "template").select("leaf", "key", "first")
         found = good if found is None else found.unionByName(good)
-        now = step.filter("not good").select("leaf", "key", *SEEN, "group", "tokens")
+        now = step.filter("template is null").select("leaf", "key", *SEEN, "group", "tokens")
         if now.isEmpty():
             break
     # What no template has taken recurs as it is.
@@ -181,26 +208,36 @@ WITH RECURSIVE flat AS (
 ), seen AS (
   SELECT plain, line, any_value(t) AS t, min(doc_id) AS first, max(doc_id) AS last FROM lines GROUP BY plain, line
 ), tree AS (
-  SELECT line, t, first, last, len(t) || ' ' || array_to_string(t[1:3], ' ') AS grp, false AS good, first AS keeps
+  SELECT line, t, first, last, len(t) || ' ' || array_to_string(t[1:3], ' ') AS grp, NULL::VARCHAR AS template
   FROM seen WHERE plain AND len(t) >= 6
   UNION ALL
-  SELECT line, any_value(t), any_value(first), any_value(last),
-    CASE WHEN 100 * count(*) FILTER (kinds = 1 AND token <> '<*>') >= 70 * count(*) THEN grp
-      ELSE md5(grp || arg_max(i || ' ' || token, (alike, -kinds, -i)) FILTER (kinds > 1)) END,
-    100 * count(*) FILTER (kinds = 1 AND token <> '<*>') >= 70 * count(*), any_value(lowest)
+  SELECT line, t, first, last, CASE WHEN good THEN md5(grp || ' rest') ELSE md5(grp || split) END, CASE WHEN good AND hit THEN grp END
   FROM (
-    SELECT *, count(*) OVER (PARTITION BY grp, line, kinds) AS alike FROM (SELECT *, count(DISTINCT token) OVER (PARTITION BY grp, i) AS kinds
-    FROM (
-      SELECT line, t, first, last, grp, lowest, unnest(t) AS token, generate_subscripts(t, 1) AS i
+    SELECT *, 2 * sum(hit::INTEGER) OVER (PARTITION BY grp) >= n AS good FROM (
+      SELECT line, any_value(t) AS t, any_value(first) AS first, any_value(last) AS last, grp, any_value(n) AS n,
+        100 * count(*) FILTER (2 * met > n AND token <> '<*>') >= 70 * count(*) AS hit,
+        arg_max(i || ' ' || token, (CASE WHEN free THEN 1 ELSE 0 END, CASE WHEN free THEN alike ELSE -top END, CASE WHEN free THEN -kinds ELSE 0 END, -i))
+          FILTER (kinds > 1) AS split
       FROM (
-        SELECT *, count(*) OVER (PARTITION BY grp) AS n, min(first) OVER (PARTITION BY grp) AS lowest, max(last) OVER (PARTITION BY grp) AS highest
-        FROM tree WHERE NOT good
-      ) WHERE n > 1 AND lowest <> highest
-    ))
-  ) GROUP BY line, grp
+        SELECT *, 2 * top <= n AS free, count(*) OVER (PARTITION BY grp, line, kinds, 2 * top <= n) AS alike FROM (
+          SELECT *, max(met) OVER (PARTITION BY grp, i) AS top FROM (
+            SELECT *, count(DISTINCT token) OVER (PARTITION BY grp, i) AS kinds, count(*) OVER (PARTITION BY grp, i, token) AS met FROM (
+              SELECT line, t, first, last, grp, n, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (
+                SELECT *, count(*) OVER (PARTITION BY grp) AS n, min(first) OVER (PARTITION BY grp) AS lowest, max(last) OVER (PARTITION BY grp) AS highest
+                FROM tree WHERE template IS NULL
+              ) WHERE n > 1 AND lowest <> highest
+            )
+          )
+        )
+      ) GROUP BY line, grp
+    )
+  )
+), taken AS (
+  SELECT line, min(first) OVER (PARTITION BY template) AS keeps, min(first) OVER (PARTITION BY template) <> max(last) OVER (PARTITION BY template) AS good
+  FROM tree WHERE template IS NOT NULL
 ), kept AS (
   SELECT s.plain, s.line, coalesce(g.keeps, s.first) AS first
-  FROM seen s LEFT JOIN (SELECT line, keeps FROM tree WHERE good) g ON s.plain AND s.line = g.line
+  FROM seen s LEFT JOIN (SELECT line, keeps FROM taken WHERE good) g ON s.plain AND s.line = g.line
   WHERE g.line IS NOT NULL OR s.first <> s.last
 ), drops AS (
   SELECT doc_id, pos FROM lines JOIN kept USING (plain, line) WHERE doc_id <> first

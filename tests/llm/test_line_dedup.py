@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -65,16 +66,23 @@ def plain_rest(docs):
     first = {line: min(of) for line, of in seen.items()}
 
     def grow(group):
-        of = set().union(*(seen[line] for line in group))
-        if len(group) < 2 or len(of) < 2:
+        if len(group) < 2 or len(set().union(*(seen[line] for line in group))) < 2:
             return
         rows = [line[1].split(" ") for line in group]
-        kinds = [set(column) for column in zip(*rows)]
-        if 100 * sum(len(k) == 1 and k != {"<*>"} for k in kinds) >= 70 * len(kinds):
-            first.update(dict.fromkeys(group, min(of)))
+        counts = [Counter(column) for column in zip(*rows)]
+        top = [max(c.values()) for c in counts]
+        hit = [100 * sum(t != "<*>" and 2 * c[t] > len(group) for t, c in zip(row, counts)) >= 70 * len(row) for row in rows]
+        if 2 * sum(hit) >= len(group):
+            own = [line for line, h in zip(group, hit) if h]
+            within = set().union(*(seen[line] for line in own))
+            if len(within) > 1:
+                first.update(dict.fromkeys(own, min(within)))
+            grow([line for line, h in zip(group, hit) if not h])
             return
-        sizes = [len(k) for k in kinds]
-        at = max((sizes.count(n), -n, -i) for i, n in enumerate(sizes) if n > 1)[2] * -1
+        free = [2 * n <= len(group) for n in top]
+        sizes = [len(c) for c in counts]
+        alike = Counter(zip(sizes, free))
+        at = -max((1, alike[n, True], -n, -i) if free[i] else (0, -top[i], 0, -i) for i, n in enumerate(sizes) if n > 1)[3]
         parts = {}
         for line, row in zip(group, rows):
             parts.setdefault(row[at], []).append(line)
@@ -119,6 +127,14 @@ def test_many_templates_in_a_leaf(docs_of, templates):
     assert got == {(d, text if d % 100 == 0 else "") for d, text in docs}
 
 
+def test_scattered_edits(docs_of):
+    """Near copies with edits in other places each: every place has several tokens, and one that most lines have."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    draw = random.Random(7)
+    docs = [(i, " ".join(w + "x" if k > 2 and draw.random() < 0.1 else w for k, w in enumerate(words))) for i in range(150)]
+    assert rest(docs_of(*docs)) == {docs[0], *[(i, "") for i, _ in docs[1:]]}
+
+
 def test_names_that_recur(docs_of):
     """One template whose every variant is in two documents: one line stays in all."""
     docs = [(2 * i + k, f"Posted today by name{chr(97 + i % 26)}{chr(97 + i // 26)} under the general news heading") for i in range(50) for k in range(2)]
