@@ -3,7 +3,8 @@
 Two passes over the pages. The first hashes every element subtree that has a text, whatever its tag, role or
 class; Spark counts, per host, the different pages that have it. The second deletes the subtrees that many pages of
 the host share. Only from what is left it then takes what is never main text by its tag, role, class or id,
-and reads the blocks of the rest. Between the passes goes one narrow row for each page with a subtree to delete.
+and reads the blocks of the rest. Between the passes go the templates of each host, broadcast if they are
+counted few, else one narrow row for each page with a subtree to delete.
 
 Two kinds of subtrees are not counted: those that hold the article itself, and the prose of an article (its
 paragraphs, headings, lists and tables), as articles of a site may quote the same passage.
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kategora.plans.storage import staged
+from kategora.plans.storage import SMALL_ROWS, staged
 
 # A subtree is a template from so many different pages of a host on, whatever the size of the host;
 # on a host of few pages fewer are enough, if they are that share of its pages.
 MANY_PAGES = 10
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+# Templates of one host that are handed to each of its pages; beyond, a page gets only those it has.
+HOST_TEMPLATES = 1_000
 
 # Element names of HTML by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -295,10 +298,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """
     found = page_subtrees(pages, url, page)
     templates = staged(page_templates(pages, found, url, page), "templates")
-    hits = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("host", "at").agg(F.collect_set("subtree").alias("delete"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(url).alias("host"))
     kind = rows.schema["key"].dataType.simpleString()
-    marked = rows.withColumn("at", F.xxhash64("html")).join(staged(hits, "hits"), ["host", "at"], "left")
+    sizes = templates.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if (sizes["all"] or 0) <= SMALL_ROWS and (sizes["most"] or 0) <= HOST_TEMPLATES:
+        # Few: every page gets those of its host, and no page has to be shuffled.
+        hits = templates.groupBy("host").agg(F.collect_set("subtree").alias("delete"))
+        marked = rows.join(F.broadcast(hits), "host", "left")
+    else:
+        hits = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("host", "at").agg(F.collect_set("subtree").alias("delete"))
+        marked = rows.withColumn("at", F.xxhash64("html")).join(staged(hits, "hits"), ["host", "at"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

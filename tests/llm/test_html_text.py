@@ -36,8 +36,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host long")
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_templates(spark, monkeypatch, most):
     """What the pages of a host share is deleted, the same block elsewhere is not; prose of articles stays."""
+    monkeypatch.setattr(ht, "HOST_TEMPLATES", most)
     shared = "<div><p>Read us every day</p><a href='/'>home</a></div>"
     rows = [(i, f"http://a.com/{i}", f"<body>{shared}<div><p>story number {i} is told here</p></div></body>") for i in range(8)]
     rows += [(20, "http://b.com/", f"<body>{shared}<p>other</p></body>"), (21, None, None), (None, "odd", "<p>x"), (20, "http://b.com/", f"<body>{shared}<p>other</p></body>")]
