@@ -356,6 +356,9 @@ def sql() -> dict[str, str]:
         "decode_labels_unknown": """SELECT vec_id, v.label, category
           FROM (SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN label % 6 END AS label FROM embeddings) v
           LEFT JOIN (SELECT lang AS category, row_number() OVER (ORDER BY lang) - 1 AS label FROM documents GROUP BY lang) c ON c.label = v.label""",
+        "label_vocab_from": """SELECT doc_id, lang AS category, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS label FROM documents""",
+        "predict_text": f"""SELECT doc_id, predicted_category FROM ({whole_table_sql()})
+          WHERE doc_id = (SELECT doc_id FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1)""",
         "score_table_repeated": f"""SELECT CASE WHEN doc_id % 4 <> 0 THEN doc_id % 10 END AS key, category, source, predicted_category, count(*) AS rows
           FROM ({whole_table_sql()}) GROUP BY ALL""",
         "decode_labels": """SELECT vec_id, CAST(e.label % 4 AS INTEGER) AS label, category FROM embeddings e JOIN

@@ -321,6 +321,12 @@ def labels_encoded(spark, folder):
     return labels.encode_labels(docs, known).select("doc_id", "category", "label")
 
 
+def labels_listed(spark, folder):
+    """Classes numbered by a given list of names; documents of other classes have no number."""
+    docs = documents(spark, folder)
+    return labels.encode_labels(docs, labels.label_vocab_from(spark, ["fr", "de", "xx"])).select("doc_id", "category", "label")
+
+
 def labels_unknown(spark, folder):
     """Class numbers that the vocabulary does not have, and NULL, stay rows."""
     number = F.when(F.col("vec_id") % 5 != 0, F.col("label") % 6)
@@ -413,6 +419,15 @@ def scored_table(spark, folder):
     return bayes.score_table(documents(spark, folder), model, "doc_id").select("doc_id", "category", "source", "predicted_category")
 
 
+def text_predicted(spark, folder):
+    """The category of one text, the longest of the table (the first of several)."""
+    docs = documents(spark, folder)
+    train, _ = _parts(spark, folder)
+    longest = docs.orderBy(F.desc(F.length("text")), "doc_id").first()
+    category = bayes.fit(train, TUNED).predict_text(spark, longest["text"])
+    return docs.filter(F.col("doc_id") == longest["doc_id"]).select("doc_id", F.lit(category).alias("predicted_category"))
+
+
 def scored_repeated(spark, folder):
     """The same with a key that several documents share or that is NULL."""
     train, _ = _parts(spark, folder)
@@ -607,6 +622,7 @@ def registered() -> dict[str, Query]:
         "label_first_seen": labels_first_seen,
         "encode_labels": labels_encoded,
         "decode_labels": labels_decoded,
+        "label_vocab_from": labels_listed,
         "decode_labels_unknown": labels_unknown,
         "doc_freq_min_df": document_frequency,
         "tfidf": tfidf_weights,
@@ -618,6 +634,7 @@ def registered() -> dict[str, Query]:
         "nb_metrics": nb_metrics,
         "confusion": nb_confusion,
         "score_table": scored_table,
+        "predict_text": text_predicted,
         "score_table_repeated": scored_repeated,
         "score_conversations": scored_conversations,
         "argmax": best_class,
