@@ -287,6 +287,21 @@ SHARES = """shares AS (SELECT source, lang, avg(quality) AS a, avg(toxic) AS b
   FROM documents JOIN labels USING (doc_id) GROUP BY source, lang)"""
 
 
+def epochs_sql(number: int, rate: float, decay: float) -> str:
+    """Common tables of a softmax regression, epoch by epoch: ``w0`` to ``w<number>`` and the loss in each."""
+    steps = [
+        """x AS MATERIALIZED (SELECT vec_id, label, d, v FROM (
+  SELECT vec_id, label, unnest(range(0, 65)) AS d, unnest(list_append(embedding::DOUBLE[], 1)) AS v FROM embeddings)),
+w0 AS MATERIALIZED (SELECT k, d, 0e0 AS w FROM range(10) a(k), range(65) b(d))"""
+    ]
+    for e in range(number):
+        steps.append(f"""l{e} AS MATERIALIZED (SELECT vec_id, label, k, sum(w * v) AS logit FROM x JOIN w{e} USING (d) GROUP BY ALL),
+p{e} AS MATERIALIZED (SELECT vec_id, label, k, logit, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p FROM l{e}),
+g{e} AS (SELECT k, d, avg((p - CASE WHEN k = x.label THEN 1 ELSE 0 END) * v) AS g FROM x JOIN p{e} USING (vec_id) GROUP BY k, d),
+w{e + 1} AS MATERIALIZED (SELECT k, d, w - {rate} * (g + CASE WHEN d < 64 THEN {decay} * w ELSE 0 END) AS w FROM w{e} JOIN g{e} USING (k, d))""")
+    return "WITH " + ",\n".join(steps)
+
+
 def sql() -> dict[str, str]:
     quoted = ", ".join(f"'{w}'" for w in STOPWORDS)
     table = {
@@ -356,6 +371,9 @@ def sql() -> dict[str, str]:
         "decode_labels_unknown": """SELECT vec_id, v.label, category
           FROM (SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN label % 6 END AS label FROM embeddings) v
           LEFT JOIN (SELECT lang AS category, row_number() OVER (ORDER BY lang) - 1 AS label FROM documents GROUP BY lang) c ON c.label = v.label""",
+        "train_epochs": f"""{epochs_sql(4, 2.0, 0.01)} """ + " UNION ALL ".join(
+            f"SELECT {e + 1} AS epoch, avg(-ln(p)) AS loss FROM p{e} WHERE k = label" for e in range(4)),
+        "epoch_logits": f"""{epochs_sql(4, 2.0, 0.01)} SELECT vec_id, k AS label, sum(w * v) AS logit FROM x JOIN w4 USING (d) GROUP BY vec_id, k""",
         "label_vocab_from": """SELECT doc_id, lang AS category, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS label FROM documents""",
         "predict_text": f"""SELECT doc_id, predicted_category FROM ({whole_table_sql()})
           WHERE doc_id = (SELECT doc_id FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from kategora.functions import scores, text
 from kategora.operators import (
     bayes,
     dense,
+    epochs,
     features,
     inspect,
     labels,
@@ -28,7 +30,7 @@ from kategora.operators import (
 )
 from kategora.operators import history as runs
 from kategora.plans.ordering import hash_order, positions
-from kategora.plans.storage import staged
+from kategora.plans.storage import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -444,6 +446,24 @@ def scored_conversations(spark, folder):
     return scored.groupBy("role", "predicted_category").agg(F.count(F.lit(1)).alias("turns"))
 
 
+def _trained_epochs(spark, folder) -> epochs.SoftmaxModel:
+    """Four epochs, with a stop after the second: saved, loaded and trained on."""
+    vectors = load(spark, folder, "embeddings")
+    half = epochs.train_epochs(vectors, 10, 64, 2, rate=2.0, decay=0.01)
+    path = f"{shared_dir(spark)}/softmax-{uuid.uuid4().hex}"
+    half.save(spark, path)
+    return epochs.train_epochs(vectors, 10, 64, 2, rate=2.0, decay=0.01, start=epochs.load_softmax(spark, path))
+
+
+def epoch_losses(spark, folder):
+    return _trained_epochs(spark, folder).history(spark).select("epoch", "loss")
+
+
+def epoch_logits(spark, folder):
+    scored = _trained_epochs(spark, folder).transform(load(spark, folder, "embeddings"))
+    return scored.select("vec_id", F.posexplode("logits").alias("label", "logit"))
+
+
 def best_class(spark, folder):
     return logits(spark, folder).select("vec_id", scores.argmax(F.col("logits")).alias("prediction"))
 
@@ -634,6 +654,8 @@ def registered() -> dict[str, Query]:
         "nb_metrics": nb_metrics,
         "confusion": nb_confusion,
         "score_table": scored_table,
+        "train_epochs": epoch_losses,
+        "epoch_logits": epoch_logits,
         "predict_text": text_predicted,
         "score_table_repeated": scored_repeated,
         "score_conversations": scored_conversations,
