@@ -359,6 +359,9 @@ def sql() -> dict[str, str]:
         "sample_fraction": f"SELECT doc_id FROM documents QUALIFY {hash_rank(369)} <= round_even(0.1e0 * count(*) OVER (), 0)",
         "remainder": f"SELECT doc_id FROM documents QUALIFY {hash_rank(369)} > round_even(0.1e0 * count(*) OVER (), 0)",
         "assign_folds": f"WITH {DOCS}, fd AS ({folded('docs')}) SELECT doc_id, category, fold FROM fd",
+        "assign_folds_time": f"""WITH ev AS (SELECT event_id, event_type AS category, row_number() OVER (ORDER BY ts, event_id) AS doc_id FROM events),
+          fd AS ({folded('ev')}) SELECT event_id, category AS event_type, fold FROM fd""",
+        "tail_per_group_text": "SELECT doc_id, lang AS category FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR) DESC) <= 30",
         "assign_batches_shuffled": f"SELECT doc_id, ({hash_rank(42)} - 1) // 16 AS batch FROM documents",
         "assign_batches": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents",
         "label_sorted": "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS label, source FROM documents GROUP BY source",

@@ -298,6 +298,18 @@ def batches_shuffled(spark, folder):
     return sampling.assign_batches(documents(spark, folder), 16, "doc_id", shuffle=True).select("doc_id", "batch")
 
 
+def tail_by_text(spark, folder):
+    """The last rows of each class in the order of a text, here a digest."""
+    docs = documents(spark, folder).withColumn("digest", F.md5(F.col("doc_id").cast("string")))
+    return sampling.tail_per_group(docs, "category", 30, "digest").select("doc_id", "category")
+
+
+def folds_by_time(spark, folder):
+    """Folds in the order of a timestamp."""
+    events = load(spark, folder, "events").withColumn("at", F.struct("ts", "event_id"))
+    return sampling.assign_folds(events, 5, "event_type", "at").select("event_id", "event_type", "fold")
+
+
 def batches_repeated(spark, folder):
     """Keys that several rows share, and NULL keys: every row gets one batch."""
     key = F.when(F.col("doc_id") % 7 != 0, F.floor(F.col("doc_id") / 3)).alias("key")
@@ -627,6 +639,8 @@ def registered() -> dict[str, Query]:
         "profile": table_profile,
         "head": first_rows,
         "tail_per_group": tail_of_class,
+        "tail_per_group_text": tail_by_text,
+        "assign_folds_time": folds_by_time,
         "balance": balanced,
         "split": split_plain,
         "split_tenth": split_tenth,

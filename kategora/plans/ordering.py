@@ -15,11 +15,15 @@ from dataclasses import dataclass
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kategora.plans.storage import pinned
 
 HASH_DIGITS = 3
 KEY_BUCKETS = 1_024
+# Rows from which the buckets of keys that are no numbers are chosen, and how many splitters are compared at once.
+SAMPLE = 8_192
+STEP = 32
 
 
 @dataclass(frozen=True)
@@ -47,10 +51,17 @@ def hash_order(key: str, seed: int, digits: int = HASH_DIGITS) -> Order:
 
 
 def key_order(key: str, buckets: int = KEY_BUCKETS) -> Order:
-    """Order by a numeric key, NULL first; buckets come from approximate quantiles, ranks stay exact."""
+    """Order by a key of any type that can be ordered, NULL first. Ranks are exact.
+
+    Buckets of a number come from approximate quantiles, those of other types from a sample of
+    ``SAMPLE`` rows, drawn evenly: they decide how evenly the work is spread, never the result.
+    """
     least = -1.7976931348623157e308
 
     def bucket(df: DataFrame) -> DataFrame:
+        kind = df.schema["_key"].dataType
+        if not isinstance(kind, T.NumericType):
+            return df.withColumn("_bucket", _place(F.col("_key"), _splitters(df, buckets), kind))
         cast = df.withColumn("_value", F.coalesce(F.col("_key").cast("double"), F.lit(least)))
         model = QuantileDiscretizer(
             numBuckets=buckets, inputCol="_value", outputCol="_quantile", relativeError=1 / (4 * buckets)
@@ -64,6 +75,31 @@ def key_order(key: str, buckets: int = KEY_BUCKETS) -> Order:
     return Order({"_key": F.col(key)}, bucket)
 
 
+def _splitters(df: DataFrame, buckets: int) -> list:
+    """Keys that part the rows about evenly, in order; the smallest hashes are an even sample, and each task keeps no more of them."""
+    keys = df.select("_key", F.xxhash64("_key", F.monotonically_increasing_id()).alias("_hash")).filter("_key is not null")
+    sample = [r["_key"] for r in keys.orderBy("_hash").limit(SAMPLE).orderBy("_key").collect()]
+    chosen = sample[:: max(1, len(sample) // buckets)][1:]
+    return [k for k, before in zip(chosen, [None, *chosen]) if k != before]
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
+
+
+def _place(key: Column, splitters: list, kind: T.DataType) -> Column:
+    """How many splitters are not above a key, found in two steps: among every ``STEP``-th, then between two of them."""
+    listed = lambda keys: F.array(*[_literal(k, kind) for k in keys]).cast(T.ArrayType(kind))
+    passed = lambda keys: F.size(F.filter(keys, lambda s: s <= key))
+    coarse = passed(listed(splitters[STEP - 1 :: STEP]))
+    fine = F.array(*[listed(splitters[i : i + STEP - 1]) for i in range(0, max(len(splitters), 1), STEP)])
+    # The last part has no splitter behind it.
+    inner = F.coalesce(passed(F.get(fine, coarse)), F.lit(0))
+    return F.when(key.isNull(), -1).otherwise(coarse * STEP + F.greatest(inner, F.lit(0))).cast("int")
+
+
 def rank_cuts(
     df: DataFrame,
     by: list[str],

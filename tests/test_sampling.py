@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kategora.operators import sampling as S
 from kategora.operators.labels import decode_labels, encode_labels, label_vocab, label_vocab_from
+from kategora.plans.ordering import key_order, positions
 
 
 def rows_of(n=600, seed=1):
@@ -140,6 +141,21 @@ def test_vocabularies(spark):
         decode_labels(other, listed, on_unknown="error").collect()
 
 
+@pytest.mark.parametrize("kind", ["string", "timestamp", "struct<a:string,b:int>", "date"])
+def test_any_order_key(spark, kind):
+    """Positions by keys that are no numbers, with ties and NULLs, whatever the number of splitters."""
+    values = [None, None, *[f"2024-0{1 + i % 9}-{1 + i % 28:02d}" for i in range(300)], *["2024-05-05"] * 200]
+    if kind.startswith("struct"):
+        rows = spark.createDataFrame([(None if v is None else (v, i % 3), i) for i, v in enumerate(values)], f"key {kind}, row int")
+    else:
+        rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "key string, row int").withColumn("key", F.col("key").cast(kind))
+    for buckets in (1, 7, 64, 1024):
+        placed = positions(rows, key_order("key", buckets), "place").orderBy("place").collect()
+        assert [r["place"] for r in placed] == list(range(1, len(values) + 1))
+        assert [r["key"] for r in placed] == sorted((r["key"] for r in placed), key=lambda k: (k is not None, k))
+    assert S.tail_per_group(rows.withColumn("by", F.lit("x")), "by", 1, "key").select("key").distinct().count() == 1
+
+
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_batches_keep_every_row(spark, shuffle):
     """Repeated and NULL keys: as many rows out as in, and all batches full but the last."""
