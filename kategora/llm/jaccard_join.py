@@ -288,9 +288,12 @@ def jaccard_join(
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class that stays, whole and unchanged; of rows equal in key and text, one."""
+    """The row of each class that stays, whole and unchanged; of rows equal in key and text, one.
+
+    Rows are told apart by a hash of key and text and by the key, so no two keys are taken for one.
+    """
     kept = jaccard_join(docs, key, text).filter("stays").select("row").distinct()
     row, nth = "".join(docs.columns) + "_row", "".join(docs.columns) + "_nth"
     marked = docs.withColumn(row, F.xxhash64(docs[key], docs[text])).join(kept.withColumnRenamed("row", row), row)
-    first = marked.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row))).filter(F.col(nth) == 1)
+    first = marked.withColumn(nth, F.row_number().over(Window.partitionBy(row, docs[key]).orderBy(row))).filter(F.col(nth) == 1)
     return first.select(*[F.col(f"`{c}`") for c in docs.columns])
