@@ -163,7 +163,7 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def header_of(records: DataFrame) -> list[str]:
     """Column names of the header row, which all files have to share."""
-    found = records.filter("number = 0").select(F.btrim("text", F.lit("\r﻿")).alias("text")).distinct().limit(2).collect()
+    found = records.filter("number = 0").select(F.btrim("text", F.lit("\r\ufeff")).alias("text")).distinct().limit(2).collect()
     names = {tuple(next(csv.reader([r["text"]]))) for r in found}
     if len(names) > 1:
         raise ValueError(f"files with different headers: {sorted(names)}")

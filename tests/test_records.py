@@ -62,7 +62,7 @@ def test_open_quote_at_the_end(spark, tmp_path):
 
 
 def test_headers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("﻿title,content\r\n1,2\r\n")
+    (tmp_path / "a.csv").write_text("\ufefftitle,content\r\n1,2\r\n")
     (tmp_path / "b.csv").write_text("title,content\n3,4")
     assert header_of(read_records(spark, [f"{tmp_path}/*.csv"])) == ["title", "content"]
     (tmp_path / "c.csv").write_text("content,title\n5,6\n")
