@@ -27,6 +27,8 @@ SLICE_ROWS = 500
 # Uncompressed bytes from which a member is a partition of its own.
 SHARE_BYTES = 32 << 20
 ORIGIN = ("archive", "member")
+# Fixed value: the end record of an archive, which an archive without members begins with.
+END_RECORD = b"PK\x05\x06"
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -63,9 +65,13 @@ class ZipReader(DataSourceReader):
         store, _ = open_store(self.path)
         found = []
         for name in archives_of(self.path):
-            with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+            with store.open_input_file(name) as file:
+                # ``zipfile`` seeks before the start of so short a file, which Arrow's files refuse.
+                if file.read(len(END_RECORD)) == END_RECORD:
+                    continue
+                file.seek(0)
                 room = 0
-                for member in archive.infolist():
+                for member in zipfile.ZipFile(file).infolist():
                     if not member.filename.endswith(".csv"):
                         continue
                     if room < member.file_size or not found or found[-1].archive != name:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kategora.operators.inspect import count_empty, head, profile, shape, value_counts
 from kategora.operators.prepare import assemble_text, count_matching, drop_empty, exclude_url
-from kategora.sources.archives import read_zipped_csv
+from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import ARTICLES, read_articles, write_csv
 from kategora.sources.corpus import read_corpus, read_corpus_body
 
@@ -145,3 +145,14 @@ def test_row_keys_do_not_depend_on_packing(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [f"http://x/{name}/{i}" for name in sorted(sizes) for i in range(sizes[name])]
     assert seen == [want, want]
+
+
+def test_zip_without_rows(spark, tmp_path):
+    """A task without rows writes an archive without members, which is read as one."""
+    rows = spark.createDataFrame([(1, "a,b"), (2, 'c "d"\ne'), (3, None)], "id long, text string").repartition(8, "id")
+    write_zipped_csv(rows, str(tmp_path / "zip"))
+    assert any(not zipfile.ZipFile(f).namelist() for f in (tmp_path / "zip").glob("*.zip"))
+    read = read_zipped_csv(spark, str(tmp_path / "zip"), "id long, text string")
+    assert sorted((r["id"], r["text"]) for r in read.collect()) == [(1, "a,b"), (2, 'c "d"\ne'), (3, None)]
+    write_zipped_csv(rows.filter("id > 3"), str(tmp_path / "none"))
+    assert read_zipped_csv(spark, str(tmp_path / "none"), "id long").count() == 0
