@@ -14,7 +14,7 @@ from kategora.plans.ordering import key_order, positions
 from kategora.plans.storage import shared_dir
 from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import read_articles, write_csv
-from kategora.sources.corpus import read_corpus, read_corpus_body
+from kategora.sources.corpus import read_corpus, read_corpus_body, write_corpus
 
 
 def registered() -> dict:
@@ -107,7 +107,7 @@ def _corpus(spark: SparkSession, folder: str) -> str:
     """One text file per article, in a folder that is named after it: url, date, title, content."""
     path = _folder(spark, "corpus")
     text = F.concat_ws("\n", F.lit("http://x"), F.lit("2024-01-01"), "title", "content")
-    articles(spark, folder).select("category", "doc_id", text.alias("value")).write.partitionBy("category", "doc_id").text(path)
+    write_corpus(articles(spark, folder).select("category", "doc_id", text.alias("value")), path, ["category", "doc_id"])
     return path
 
 

@@ -7,7 +7,7 @@ from kategora.operators.inspect import count_empty, head, profile, shape, value_
 from kategora.operators.prepare import assemble_text, count_matching, drop_empty, exclude_url
 from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import ARTICLES, read_articles, write_csv
-from kategora.sources.corpus import read_corpus, read_corpus_body
+from kategora.sources.corpus import read_corpus, read_corpus_body, write_corpus
 
 CSV = (
     "url,title,content,category,user\n"
@@ -156,3 +156,18 @@ def test_zip_without_rows(spark, tmp_path):
     assert sorted((r["id"], r["text"]) for r in read.collect()) == [(1, "a,b"), (2, 'c "d"\ne'), (3, None)]
     write_zipped_csv(rows.filter("id > 3"), str(tmp_path / "none"))
     assert read_zipped_csv(spark, str(tmp_path / "none"), "id long").count() == 0
+
+
+def test_write_corpus(spark, tmp_path):
+    """Folders by value, NULL and empty ones too; rows of a task and folder share a file; the session's setting stays."""
+    rows = [("a/b", 1, "x\ny"), ("a/b", 1, "x\ny"), (None, 2, "é"), ("", 3, None), ("c d", None, "z")]
+    root = str(tmp_path / "corpus")
+    write_corpus(spark.createDataFrame(rows, "kind string, id long, value string").coalesce(1), root, ["id", "kind"])
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    assert sorted(r[0] for r in files.collect()) == ["\n", "x\ny\nx\ny\n", "z\n", "é\n"]
+    found = read_corpus(spark, root).select("category").collect()
+    assert sorted(r[0] for r in found) == ["kind=__HIVE_DEFAULT_PARTITION__"] * 2 + ["kind=a%2Fb", "kind=c d"]
+    write_corpus(spark.createDataFrame([(f"{i:03d}", "t\n" * 4) for i in range(600)], "kind string, value string"), f"{root}2", ["kind"])
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert read_corpus(spark, f"{root}2").count() == 600
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
