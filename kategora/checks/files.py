@@ -16,6 +16,10 @@ from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import read_articles, write_csv
 from kategora.sources.corpus import read_corpus, read_corpus_body, write_corpus
 
+# Bytes of the table that are written to one file, and splits that small files are cut into at most.
+FILE_BYTES = 32 << 20
+SPLITS = 1_024
+
 
 def registered() -> dict:
     return {
@@ -36,6 +40,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _total(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at ``path``; none of them is opened."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
+def _files_for(spark: SparkSession, folder: str, least: int) -> int:
+    """Files to write the articles to: ``least`` for a small table, for a large one so many that none grows with it."""
+    return max(least, _total(spark, f"{folder}/documents.parquet") // FILE_BYTES)
+
+
 def _digests(read: DataFrame, key: Column) -> DataFrame:
     return read.select(key.alias("doc_id"), F.md5("title").alias("title"), F.md5("content").alias("content"), "category")
 
@@ -55,7 +69,7 @@ def csv_gzip(spark: SparkSession, folder: str) -> DataFrame:
 def csv_tail(spark: SparkSession, folder: str) -> DataFrame:
     """Last articles of each category, in the order of several files that are read together."""
     path = _folder(spark, "csv")
-    made = articles(spark, folder).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    made = articles(spark, folder).repartitionByRange(_files_for(spark, folder, 5), "doc_id").sortWithinPartitions("doc_id")
     write_csv(made.select(F.col("source").alias("url"), "title", "content", "category", F.col("doc_id").alias("user")), path)
     last = tail_per_group(read_articles(spark, f"{path}/*.csv"), "category", 30, "row_key")
     return last.select(F.col("user").cast("long").alias("doc_id"), "category")
@@ -76,9 +90,10 @@ def csv_first(spark: SparkSession, folder: str) -> DataFrame:
 def csv_split(spark: SparkSession, folder: str) -> DataFrame:
     """Files that many tasks read side by side, and the place of every row in them."""
     path = _folder(spark, "csv")
-    write_csv(_table(spark, folder).repartitionByRange(3, "user").sortWithinPartitions("user"), path)
+    write_csv(_table(spark, folder).repartitionByRange(_files_for(spark, folder, 3), "user").sortWithinPartitions("user"), path)
     whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(1 << 17, _bytes(whole))))
+    share = max(1 << 17, _total(spark, path) // SPLITS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(share, _bytes(whole))))
     try:
         read = read_articles(spark, f"{path}/*.csv")
     finally:

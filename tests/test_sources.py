@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from kategora.checks import files
 from kategora.operators.inspect import count_empty, head, profile, shape, value_counts
 from kategora.operators.prepare import assemble_text, count_matching, drop_empty, exclude_url
 from kategora.sources.archives import read_zipped_csv, write_zipped_csv
@@ -171,3 +172,17 @@ def test_write_corpus(spark, tmp_path):
     before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
     assert read_corpus(spark, f"{root}2").count() == 600
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """A large table is written to more files and cut into no more splits; its rows and places stay."""
+    rows = [(i, f"title {i}\nbody {i}\n" + "x" * 200, "en", "web", 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    shown = lambda: (sorted(map(tuple, files.csv_split(spark, str(tmp_path)).collect())), sorted(map(tuple, files.csv_tail(spark, str(tmp_path)).collect())))
+    want = shown()
+    assert files._files_for(spark, str(tmp_path), 3) == 3
+    monkeypatch.setattr(files, "FILE_BYTES", files._total(spark, f"{tmp_path}/documents.parquet") // 9)
+    monkeypatch.setattr(files, "SPLITS", 1)
+    assert files._files_for(spark, str(tmp_path), 3) >= 9
+    assert shown() == want
