@@ -37,14 +37,21 @@ WIDTH = 64
 BUCKET_ROWS = 50_000
 BUCKETS = 64
 CHUNK = 1 << 20
-# Bytes of words, and of their ids, that an encoder keeps; with Python's own some five times that.
-CACHED = 16 << 20
+# Rows whose texts are Python strings at the same time.
+ROWS = 256
+# Bytes of words, and of their ids, that an encoder keeps; with Python's own some five to ten times that.
+CACHED = 8 << 20
 # White space for Python that is none for the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 # Stands between words that are encoded together; words that contain it are encoded alone.
 BREAK = "\x01"
+# Letters that end with a mark once they are normalised and lower-cased; a stop after a mark is one piece with it.
+MARKED = (
+    r"\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69"
+    r"\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e"
+)
 # Stops and commas that end a word are pieces of their own for the tokenizer if a letter or digit precedes them.
-ENDING = re.compile(r"[.,](?<=[^\W_].)[.,]*(?!\S)")
+ENDING = re.compile(rf"[.,](?<=[^\W_{MARKED}].)[.,]*(?!\S)")
 
 
 # ``(copies, lengths)`` of sequences that are filled alike.
@@ -358,7 +365,7 @@ def pieces(docs: DataFrame, definition: str, key: str, text: str, capacity: int,
         encoder = encoder_of(definition)
         for batch in batches:
             take, out = [], []
-            for i, data in enumerate(_encoded(encoder, [t or "" for t in batch.column("text").to_pylist()])):
+            for i, data in enumerate(_encoded(encoder, batch.column("text"))):
                 data += END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
@@ -375,11 +382,11 @@ def pieces(docs: DataFrame, definition: str, key: str, text: str, capacity: int,
     return rows.mapInArrow(run, schema)
 
 
-def _encoded(encoder: Encoder, texts: list[str]) -> Iterator[bytes]:
+def _encoded(encoder: Encoder, texts: pa.Array) -> Iterator[bytes]:
     part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
+    for text in (t for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()):
+        part.append(text or "")
+        size += len(part[-1])
         if size >= CHUNK:
             yield from encoder.encode(part)
             part, size = [], 0

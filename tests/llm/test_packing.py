@@ -1,8 +1,12 @@
+import re
 import zlib
 from collections import defaultdict
+from unicodedata import normalize
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -118,3 +122,29 @@ def test_pieces_and_places(edges, docs_of):
 
 def test_empty(docs_of):
     assert packing.pack(docs_of(), DEFINITION).count() == 0
+
+
+def test_stop_after_a_mark():
+    """A stop is one piece with the mark that a letter ends with once it is normalised and lower-cased."""
+    ends = [c for c in map(chr, range(0x110000)) if c.isalnum() and not normalize("NFC", c).lower()[-1].isalnum()]
+    assert ends == [c for c in map(chr, range(0x110000)) if re.match(f"[{packing.MARKED}]", c)]
+    texts = [f"a{c}., {c}. b" for c in ends]
+    want = [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.Encoder(DEFINITION).encode(texts) == want
+
+
+def test_texts_are_read_in_slices():
+    """Not all texts of a batch are Python strings at once; each has its own ids all the same."""
+    sizes = []
+
+    class Sized(packing.Encoder):
+        def encode(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return super().encode(texts)
+
+    texts = [f"word{i} " * 40 for i in range(3 * packing.ROWS)] + [None, ""]
+    held = mock.patch.object(packing, "CHUNK", 1 << 16)
+    with held:
+        found = list(packing._encoded(Sized(DEFINITION), pa.array(texts)))
+    want = [np.array(TOKENIZER.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert found == want and len(sizes) > 2 and max(sizes) < 1 << 17
