@@ -1,28 +1,35 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE: words found by Spark, encoded in Arrow batches; decoding joins the pieces.
 
-A word's bytes are held as a string of characters 0-255, so pieces can be keys and can be joined.
-The rank of every piece of the vocabulary is one literal in the plan: an array of small maps,
-found by checksum, because looking a key up in a map reads the map. Its size is that of the
-vocabulary. A fold over a word merges the leftmost pair of lowest rank until no pair has a rank.
+A task encodes the distinct words of a batch, whatever the number of their occurrences, and puts the
+ids back in their places. All words are merged together: a round merges, in each of them, the
+leftmost pair of lowest rank, until no pair has a rank. So the steps of Python go by the length of
+the words, not by their number; a very long word is merged by itself, with a queue of its pairs.
 
-Words are folded once where they are frequent: all words of the corpus are counted, and the
-encodings of the most frequent ones (at most ``FREQUENT``, which bounds the second literal) are
-looked up. Any other word is folded where it stands, with the same result.
+The vocabulary is sent to the tasks as arrays. A task keeps the words that were frequent in its
+batches (at most ``FREQUENT``), which only saves work. Nothing is shuffled or fetched.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
+from collections.abc import Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from kategora.plans.storage import staged
+from pyspark.sql import types as T
 
 FREQUENT = 1 << 17
 NO_RANK = 2**31 - 1
+# Bytes of a word that is merged by itself, bytes of the words merged together, words put back together.
+LONG = 512
+BLOCK = 1 << 16
+SLICE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,96 +43,156 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-class Lookup:
-    """A mapping from strings as a literal: ``2 ** bits`` maps of a few entries each."""
-
-    def __init__(self, entries: dict[str, object], kind: str):
-        self.size = 1 << max(4, (len(entries) // 2).bit_length())
-        slots: list[dict] = [{} for _ in range(self.size)]
-        for key, value in entries.items():
-            slots[zlib.crc32(key.encode()) % self.size][key] = value
-        text = json.dumps(slots, separators=(",", ":"), ensure_ascii=False)
-        self.table = F.from_json(F.lit(text), f"array<map<string,{kind}>>")
-
-    def __getitem__(self, key: Column) -> Column:
-        """Value of a key, NULL when there is none."""
-        return F.element_at(F.get(self.table, (F.crc32(key) % self.size).cast("int")), key)
+def spans(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """``(from, to)`` of neighbours, given where each ends, that take some ``size`` together."""
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)], strict=True) if len(ends) else ()
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` ids from each start on, one after the other."""
+    shift = np.repeat(start - (np.cumsum(count) - count), count)
+    return ids[shift + np.arange(len(shift))]
+
+
+class Merges:
+    """Ranks of all pairs of pieces. A piece is told by its rank; a byte that is no piece has a number behind all ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values()) + 1
+        self.bytes = np.array([ranks.get(bytes([b]), self.size + b) for b in range(256)], np.int64)
+        number = {bytes([b]): int(n) for b, n in enumerate(self.bytes)} | ranks
+        halves = ((p[:i], p[i:], rank) for p, rank in ranks.items() for i in range(1, len(p)))
+        pairs = sorted((self.key(number[a], number[b]), rank) for a, b, rank in halves if a in number and b in number)
+        # The last key is that of no pair.
+        self.keys, self.ranks = np.array([*pairs, (2**63 - 1, NO_RANK)], np.int64).T.copy()
+
+    def key(self, left, right):
+        return left * (self.size + 256) + right
+
+    @cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NO_RANK`` for what is no piece together."""
+        key = self.key(left, right)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+    def merged(self, parts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ids, start, count`` of words, given the pieces of all their bytes and their lengths (1 at least)."""
+        start, count = np.zeros((2, len(lengths)), np.int64)
+        word, out, given = np.arange(len(lengths)), [], 0
+        ranks = np.append(self.pairs(parts[:-1], parts[1:]), NO_RANK)
+        ranks[np.cumsum(lengths) - 1] = NO_RANK
+        while len(word):
+            first = np.cumsum(lengths) - lengths
+            low = np.minimum.reduceat(ranks << 32 | np.arange(len(ranks)), first)
+            best, at = low >> 32, low & 0xFFFFFFFF
+            live = best < NO_RANK
+            if not live.all():
+                done, inside = ~live, np.repeat(live, lengths)
+                out.append(parts[~inside])
+                count[word[done]] = lengths[done]
+                start[word[done]] = given + np.cumsum(lengths[done]) - lengths[done]
+                given += len(out[-1])
+                at = (at - first)[live]
+                parts, ranks, lengths, word, best = parts[inside], ranks[inside], lengths[live], word[live], best[live]
+                at += np.cumsum(lengths) - lengths
+            parts[at] = best
+            kept = np.ones(len(parts), bool)
+            kept[at + 1] = False
+            parts, ranks, lengths = parts[kept], ranks[kept], lengths - 1
+            # One part is gone from each word; only the ranks beside the new one change.
+            at -= np.arange(len(at))
+            last = np.cumsum(lengths) - 1
+            ranks[at] = NO_RANK
+            right, left = at[at < last], at[at > last - lengths + 1]
+            ranks[right] = self.pairs(parts[right], parts[right + 1])
+            ranks[left - 1] = self.pairs(parts[left - 1], parts[left])
+        return np.concatenate([*out, np.zeros(0, np.int64)]), start, count
+
+    def merged_long(self, raw: np.ndarray) -> list[int]:
+        """Ids of one word; the same merges, the next one from a queue of ``(rank, place)``."""
+        parts, n = raw.tolist(), len(raw)
+        ranks = [*self.pairs(raw[:-1], raw[1:]).tolist(), NO_RANK]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(rank, i) for i, rank in enumerate(ranks) if rank < NO_RANK]
+        heapify(queue)
+        while queue:
+            rank, i = heappop(queue)
+            if ranks[i] != rank:  # one of its parts was merged with another
+                continue
+            gone = after[i]
+            parts[i], ranks[gone], after[i] = rank, NO_RANK, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0:
+                    ranks[k] = self.table.get(self.key(parts[k], parts[after[k]]), NO_RANK) if after[k] < n else NO_RANK
+                    if ranks[k] < NO_RANK:
+                        heappush(queue, (ranks[k], k))
+        ids, i = [], 0
+        while i < n:
+            ids.append(parts[i])
+            i = after[i]
+        return ids
+
+
+class Known:
+    """Words (binary) with their encodings: ``count`` ids from ``start`` on."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, start: np.ndarray, count: np.ndarray):
+        self.words, self.ids, self.start, self.count = words, ids, start, count
+
+    def encoded(self, words: pa.Array, merges: Merges) -> tuple[Known, np.ndarray]:
+        """The encodings of distinct words, and the places of those that had to be merged."""
+        words = words.cast(pa.binary())
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        start, count = np.where(known < 0, 0, self.start[known]), np.where(known < 0, 0, self.count[known])
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        new = np.flatnonzero((known < 0) & (sizes > 0))
+        # Words of about one length take as many rounds.
+        new = new[np.argsort(sizes[new], kind="stable")]
+        sizes, data = sizes[new], words.take(pa.array(new))
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+        ids, given = [self.ids], len(self.ids)
+        short = int(np.searchsorted(sizes, LONG, "right"))
+        for a, b in spans(ends[:short], BLOCK):
+            parts = merges.bytes[raw[ends[a] - sizes[a] : ends[b - 1]]]
+            found, first, n = merges.merged(parts, sizes[a:b])
+            start[new[a:b]], count[new[a:b]] = given + first, n
+            ids.append(np.where(found < merges.size, found, NO_RANK))
+            given += len(found)
+        for i in range(short, len(new)):
+            found = np.array(merges.merged_long(merges.bytes[raw[ends[i] - sizes[i] : ends[i]]]))
+            start[new[i]], count[new[i]] = given, len(found)
+            ids.append(np.where(found < merges.size, found, NO_RANK))
+            given += len(found)
+        return Known(words, np.concatenate(ids), start, count), new
+
+    def joined(self, other: Known, places: np.ndarray) -> Known:
+        """With some words of another one."""
+        count = other.count[places]
+        ids = np.r_[self.ids, gathered(other.ids, other.start[places], count)]
+        start = np.r_[self.start, len(self.ids) + np.cumsum(count) - count]
+        chosen = other.words.take(pa.array(places))
+        return Known(pa.concat_arrays([self.words, chosen]), ids, start, np.r_[self.count, count])
 
 
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
-        self.ranks = Lookup({p.decode("latin-1"): r for p, r in ranks.items()}, "int")
+        self.merges = Merges(ranks)
+        whole = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.vocabulary = Known(pa.array(list(ranks), pa.binary()), whole, np.arange(len(ranks)), np.ones(len(ranks), np.int64))
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
         self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
-    def _ranks(self, pieces: Column) -> Column:
-        """Rank of each piece, ``NO_RANK`` for what is no piece. The literal is in the plan once for each call."""
-        return F.transform(pieces, lambda p: F.coalesce(self.ranks[p], F.lit(NO_RANK)))
-
-    def fold(self, word: Column) -> Column:
-        """Token ids of one word."""
-        raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return F.get(F.transform(F.array(raw), self._fold), F.lit(0))
-
-    def _fold(self, raw: Column) -> Column:
-        n = F.char_length(raw)
-        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, i, F.lit(2)))
-        # The last "pair" is one character; the whole word takes its place.
-        ranks = self._ranks(F.concat(F.slice(pairs, F.lit(1), n - 1), F.array(raw)))
-        start = F.struct(single.alias("parts"), ranks.alias("ranks"))
-        return F.get(F.transform(F.array(start), lambda s: self._merged(s, n)), F.lit(0))
-
-    def _merged(self, start: Column, n: Column) -> Column:
-        whole = F.element_at(start["ranks"], -1)
-        pairs = F.struct(start["parts"].alias("parts"), F.slice(start["ranks"], F.lit(1), n - 1).alias("ranks"))
-        merged = F.aggregate(F.sequence(F.lit(1), n - 1), pairs, lambda acc, _: self._merge(acc))
-        return F.when(whole != NO_RANK, F.array(whole)).otherwise(self._ranks(merged["parts"]))
-
-    def _merge(self, acc: Column) -> Column:
-        """Merge the leftmost pair of lowest rank; only the ranks of its two neighbours change."""
-        best = F.array_min(acc["ranks"])
-        return F.when(best == NO_RANK, acc).otherwise(
-            # A one-element transform gives the place of the pair a name, so it is found once.
-            F.get(F.transform(F.array(F.array_position(acc["ranks"], best).cast("int")), lambda at: self._join(acc, at)), F.lit(0))
-        )
-
-    def _join(self, acc: Column, at: Column) -> Column:
-        parts, ranks = acc["parts"], acc["ranks"]
-        new = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        # With the neighbours that exist: before a first and after a last part there is none.
-        beside = F.filter(F.array(F.concat(F.get(parts, at - 2), new), F.concat(new, F.get(parts, at + 1))), F.isnotnull)
-        size = F.size(parts)
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, size)).alias("parts"),
-            F.concat(
-                F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), self._ranks(beside), F.slice(ranks, at + 2, size)
-            ).alias("ranks"),
-        )
-
-    def frequent(self, docs: DataFrame, text: str, most: int) -> dict[str, list[int]]:
-        """Encodings of the most frequent words, at most ``most`` of them.
-
-        A histogram of the counts gives the count from which words are few enough, so nothing is
-        sorted and no more than that is fetched.
-        """
-        each = docs.select(F.explode(words(F.col(text), self.pattern)).alias("word"))
-        counts = staged(each.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "word-counts")
-        step = F.floor(F.log2("n") * 8)
-        total, least = 0, None
-        for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-            total += row["count"]
-            if total > most:
-                break
-            least = row["step"]
-        if least is None:
-            return {}
-        chosen = counts.filter(step >= least).repartition("word").select("word", self.fold(F.col("word")).alias("ids"))
-        return {r["word"]: r["ids"] for r in chosen.toLocalIterator()}
-
     def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
         """``key, ids`` (array of int) for every row, the whole text and no special tokens.
 
@@ -133,13 +200,34 @@ class ByteBpe:
         are ignored; an empty table gives an empty result. Equal to encoding each match of the
         pattern by itself.
         """
-        known = Lookup(self.frequent(docs, text, frequent), "array<int>") if frequent else None
+        merges, vocabulary = self.merges, self.vocabulary
         rows = docs.select(F.col(key).alias("key"), words(F.col(text), self.pattern).alias("words"))
 
-        def ids(word: Column) -> Column:
-            return F.coalesce(known[word], self.fold(word)) if known else self.fold(word)
-
-        return rows.select(F.col("key").alias(key), F.flatten(F.transform("words", ids)).alias("ids"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, left = vocabulary, frequent
+            for batch in batches:
+                lists = batch.column("words")
+                coded = lists.flatten().dictionary_encode()
+                codes = coded.indices.to_numpy()
+                found, new = known.encoded(coded.dictionary, merges)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                offsets -= offsets[0]
+                for a, b in spans(offsets[1:], SLICE):
+                    part = codes[offsets[a] : offsets[b]]
+                    count = found.count[part]
+                    ids = gathered(found.ids, found.start[part], count).astype(np.int32)
+                    ends = np.r_[0, np.cumsum(count)][offsets[a : b + 1] - offsets[a]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").slice(a, b - a), pa.ListArray.from_arrays(ends, ids)], ["key", "ids"]
+                    )
+                if left:
+                    times = np.bincount(codes, minlength=len(found.words))[new]
+                    again = (times > 1) & (pc.binary_length(found.words).to_numpy()[new] <= LONG)
+                    new = new[again][np.argsort(-times[again], kind="stable")][:left]
+                    known, left = known.joined(found, new), left - len(new)
+
+        schema = T.StructType([rows.schema["key"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids: the pieces one after the other."""
