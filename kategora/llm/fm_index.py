@@ -14,24 +14,28 @@ from __future__ import annotations
 import numpy as np
 
 DELIMITER = 0
-# Ranks between two checkpoints of the character counts.
-STEP = 32
+# Ranks between two checkpoints of the character counts: the bits of a number.
+STEP = 64
 
 
 def rotations(text: np.ndarray) -> np.ndarray:
-    """Starts of the rotations of a circular text, sorted; prefix doubling, no two rotations may be equal."""
+    """Starts of the rotations of a circular text, sorted; by ever longer prefixes, no two rotations may be equal."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     length, at = 1, np.arange(n)
     while True:
-        key = rank * (int(rank.max()) + 1) + rank[(at + length) % n]
-        order = np.argsort(key, kind="stable")
+        # As many prefixes as one number can hold.
+        key, size = rank, int(rank.max()) + 1
+        width = max(2, 62 // max(1, size.bit_length()))
+        for i in range(1, width):
+            key = key * size + rank[(at + i * length) % n]
+        order = np.argsort(key)
         rise = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
         rank = np.empty(n, np.int64)
         rank[order] = rise
         if rise[-1] == n - 1:
             return order
-        length *= 2
+        length *= width
 
 
 class Counts:
@@ -39,24 +43,24 @@ class Counts:
 
     def __init__(self, text: np.ndarray, order: np.ndarray, size: int):
         n = len(text)
-        blocks = n // STEP + 1
-        self.last = np.full((blocks + 1) * STEP, size, np.int32)
-        self.last[:n] = text[order - 1]
-        each = np.zeros((blocks + 1, size + 1), np.int32)
-        np.add.at(each, (np.arange(n) // STEP + 1, self.last[:n] + 1), 1)
-        # less[b, c]: characters below c in the first b blocks.
-        self.less = each[: blocks + 1].cumsum(0).cumsum(1).astype(np.int32)
-        self.rows = self.last.reshape(-1, STEP)
+        blocks, self.width = n // STEP + 1, size + 1
+        self.last = text[order - 1]
+        # bits[b, c] marks the characters below c in block b, less[b, c] counts them in the blocks before.
+        block, bit = np.divmod(np.arange(n), STEP)
+        bits = np.zeros(blocks * self.width, np.uint64)
+        np.add.at(bits, block * self.width + self.last + 1, np.uint64(1) << bit.astype(np.uint64))
+        bits = bits.reshape(blocks, self.width).cumsum(1, dtype=np.uint64)
+        less = np.zeros((blocks, self.width), np.int64)
+        np.cumsum(np.bitwise_count(bits)[:-1], axis=0, dtype=np.int64, out=less[1:])
+        self.bits, self.less = bits.ravel(), less.ravel()
         self.first = np.r_[0, np.bincount(text, minlength=size).cumsum()]
 
     def upto(self, rank: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many characters before ``rank`` are below ``char``, and how many equal it."""
-        block, rest = np.divmod(rank, STEP)
-        row = self.rows[block]
-        inside = np.arange(STEP) < rest[:, None]
-        below = self.less[block, char] + ((row < char[:, None]) & inside).sum(1)
-        equal = self.less[block, char + 1] - self.less[block, char] + ((row == char[:, None]) & inside).sum(1)
-        return below, equal
+        at = (rank // STEP) * self.width + char
+        inside = (np.uint64(1) << (rank % STEP).astype(np.uint64)) - np.uint64(1)
+        below = self.less[at] + np.bitwise_count(self.bits[at] & inside)
+        return below, self.less[at + 1] + np.bitwise_count(self.bits[at + 1] & inside) - below
 
 
 class Intervals:

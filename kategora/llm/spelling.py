@@ -101,7 +101,7 @@ def near_in(table: pa.Table) -> pa.Table:
     side = table.column("side")[0].as_py()
     frame = table.select(["word", "n", "asks", "held"]).group_by("word").aggregate([("n", "max"), ("asks", "max"), ("held", "max")])
     words = frame.column("word").to_pylist()
-    counts, asks, held = (np.array(frame.column(c).to_pylist()) for c in ("n_max", "asks_max", "held_max"))
+    counts, asks, held = (frame.column(c).to_numpy() for c in ("n_max", "asks_max", "held_max"))
     kept, asking = np.flatnonzero(held), np.flatnonzero(asks)
     empty = table.select(["word", "word", "n"]).slice(0, 0).rename_columns(["word", "near", "near_n"])
     if not len(kept) or not len(asking):
@@ -109,7 +109,7 @@ def near_in(table: pa.Table) -> pa.Table:
     points, lengths = codes(words)
     letters, chars = np.unique(points, return_inverse=True)
     chars, starts = chars + 1, np.r_[0, np.cumsum(lengths)[:-1]]
-    inside = np.repeat(held.astype(bool), lengths)
+    inside = np.repeat(held, lengths)
     index = BiIndex(chars[inside], lengths[kept], len(letters) + 1)
     query, found = one_error(index, chars, starts[asking], lengths[asking], to_left=bool(side))
     a, b = asking[query], kept[found]
