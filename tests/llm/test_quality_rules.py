@@ -117,3 +117,56 @@ def test_copies_set_no_band(docs_of):
 def test_edges_and_empty(edges, docs_of):
     assert qr.quality(edges).count() == edges.count()
     assert qr.quality(docs_of()).count() == 0 and qr.keep_good(docs_of()).count() == 0
+
+
+def test_letters_of_all_scripts():
+    """Every letter beyond a to z, and every mark on letters, is a symbol of its own."""
+    text = "\u0436\u0447\u4e2d\u56fd\u05d0\u0e01\u0e34\u0e35\u00e9"
+    last = qr.symbols([text], own=True)[1] % qr.WIDE
+    assert last.tolist() == [qr.LETTERS + ord(c) for c in text]
+    # Capitals, digits, signs and white space are classes as before.
+    assert (qr.symbols(["Ab 12,#\U0001f600"], own=True)[1] % qr.WIDE).tolist() == (qr.symbols(["Ab 12,#\U0001f600"])[1] % qr.SYMBOLS).tolist()
+
+
+def test_letters_tell_texts_apart(docs_of):
+    """Letters in disorder are junk, also if they are 17 apart (U+0430 and U+0441), so that they shared a number."""
+    random = np.random.default_rng(7)
+    words = ["".join(chr(0x430 + c) for c in random.integers(0, 8, random.integers(3, 8))) for _ in range(40)]
+    say = lambda: " ".join(random.choice(words, 150))
+    other = "".join(c if c == " " else chr(ord(c) + 17 * random.integers(0, 2)) for c in say())
+    docs = docs_of(*[(i, say(), "ru") for i in range(60)], (100, other, "ru"))
+    found = {r["doc_id"]: r["kept"] for r in qr.quality(docs).collect()}
+    assert not found.pop(100) and all(found.values())
+    assert {r["doc_id"] for r in qr.keep_good(docs).collect()} == set(found)
+
+
+def test_every_language_has_its_model(docs_of):
+    """However many languages there are, none shares the model of another one."""
+    random = np.random.default_rng(11)
+    rows = []
+    for lang in range(70):
+        words = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(10 * lang + i, " ".join(random.choice(words, 60)), f"l{lang:02d}") for i in range(4 if lang < 63 else 2)]
+    docs = docs_of(*rows, (9000, " ".join(random.choice(list("abc"), 60)), None))
+    model = qr.fit_model(docs)
+    assert model.languages == ["", *[f"l{lang:02d}" for lang in range(70)]]
+    alone = qr.fit_model(docs.filter("lang = 'l69'"))
+    text = next(t for _, t, k in rows if k == "l69")
+    mean = [m.log_perplexity([text], [m.languages.index("l69")])[0][0] for m in (model, alone)]
+    assert abs(mean[0] - mean[1]) < 1e-9
+    assert all(r["kept"] for r in qr.quality(docs).filter("doc_id < 9000").collect() if not r["base_failed"])
+
+
+def test_counts_added_up():
+    """A tally adds up what it has held and handed on."""
+    random = np.random.default_rng(13)
+    texts = ["".join(random.choice(list("abc \u4e2d\u0436"), 200)) for _ in range(30)] + ["  ", "\n"]
+    tally = qr.Tally()
+    for t in texts:
+        tally.add("x", [t])
+    tally.add("y", [" "])
+    found = Counter()
+    for batch in tally.rows():
+        found.update(dict(zip(zip(batch["lang"].to_pylist(), batch["code"].to_pylist()), batch["n"].to_pylist())))
+    assert found == Counter(("x", c) for t in texts for c in qr.symbols([t], own=True)[1].tolist())
+    assert tally.size == 0
