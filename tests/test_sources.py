@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kategora.checks import files
 from kategora.operators.inspect import count_empty, head, profile, shape, value_counts
 from kategora.operators.prepare import assemble_text, count_matching, drop_empty, exclude_url
+from kategora.sources import corpus as corpus_files
 from kategora.sources.archives import read_zipped_csv, write_zipped_csv
 from kategora.sources.articles import ARTICLES, read_articles, write_csv
 from kategora.sources.corpus import read_corpus, read_corpus_body, write_corpus
@@ -109,6 +110,29 @@ def test_corpus_without_exclusions(spark, corpus):
     assert read_corpus(spark, corpus, exclude=()).count() == 5
 
 
+def test_corpus_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Folders of any depth and name, as Spark's reader finds them; the driver gets no list of files."""
+    files = {
+        "a b+%c/é中/p q[1]#é.txt": b"1\n2\n3\n4", "top.txt": b"1\n2\n\xff\n4", "_x=1/a.txt": b"q", "empty.txt": b"",
+        "_hidden/a.txt": b"q", ".d/a.txt": b"q", "_h.txt": b"q", "a/b/c/LICENSE.txt": b"q", "a/b/c/d/e.txt": b"q\n", "a/no.md": b"q",
+    }
+    for name, content in files.items():
+        path = tmp_path / "deep er" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content)
+    root = str(tmp_path / "deep er")
+    shown = lambda: sorted(map(tuple, read_corpus(spark, root).collect()), key=str)
+    found = shown()
+    assert len(found) == 4 and {r[0] for r in found} == {"é中", "deep er", "_x=1", "d"}
+    assert corpus_files._listed(spark, f"{root}/*") is None and corpus_files._listed(spark, f"{root}/none") is None
+    reader = spark.read
+    monkeypatch.setattr(type(reader), "text", lambda *a, **k: pytest.fail("the driver lists the files"))
+    assert shown() == found
+    monkeypatch.undo()
+    monkeypatch.setattr(corpus_files, "_listed", lambda *a: None)
+    assert shown() == found
+
+
 def test_zip(spark, tmp_path):
     for name in ("a", "b"):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
